@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lower_ascii
+
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -93,7 +95,7 @@ def scan(text: str | None, numbers: dict[bytes, int], auto) -> tuple[int, set[in
 
 def spans_of(text: str, hit: set[int]) -> list[list[int]]:
     """[start, end) code points in the original text of each run of neighbouring hit words."""
-    at = [m.span() for m in _WORDS.finditer(text)]
+    at = [m.span() for m in _WORDS.finditer(lower_ascii(text))]
     runs = [[w for _, w in g] for _, g in groupby(enumerate(sorted(hit)), lambda x: x[1] - x[0])]
     return [[at[r[0]][0], at[r[-1]][1]] for r in runs]
 
