@@ -18,8 +18,12 @@ from ..graph import Graph
 from .shared import written
 
 
+OWN = {"key", "labels", "eid", "type", "src", "dst"}
+
+
 def _bound(df: DataFrame, var: str) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`").alias(f"{var}__{c.removeprefix('_')}") for c in df.columns))
+    """Columns of a variable; a property named like one of the pattern's own columns becomes ``v__p_<name>``."""
+    return df.select(*(F.col(f"`{c}`").alias(f"{var}__{'p_' if c in OWN else ''}{c.removeprefix('_')}") for c in df.columns))
 
 
 class Pattern:
