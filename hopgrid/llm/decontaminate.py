@@ -100,12 +100,14 @@ def spans_of(text: str, hit: set[int]) -> list[list[int]]:
     return [[at[r[0]][0], at[r[-1]][1]] for r in runs]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, hits: str = "hits") -> DataFrame:
     """``docs`` (with a ``text`` column) plus ``hits``: n_words, hit word positions, items, spans in the original."""
     spark = docs.sparkSession
     out = docs
-    kept = [f for f in docs.schema.fields if f.name != "hits"]
-    schema = T.StructType([*kept, T.StructField("hits", _HITS)])
+    if hits in docs.columns:
+        raise ValueError(f"documents have a column {hits!r} already; name another")
+    kept = docs.schema.fields
+    schema = T.StructType([*kept, T.StructField(hits, _HITS)])
     for k, block in enumerate(_blocks(benchmark, width)):
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WINDOWS windows
 
@@ -113,7 +115,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
             numbers, auto = _automaton(name, shared)
             for batch in batches:
                 texts = batch.column("text")
-                before = [None] * batch.num_rows if first else batch.column("hits").to_pylist()
+                before = [None] * batch.num_rows if first else batch.column(hits).to_pylist()
                 rows = []
                 for value, old in zip(texts, before):
                     text = value.as_py()
@@ -124,9 +126,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
                     rows.append({"n_words": n, "words": sorted(hit), "items": sorted(items), "spans": spans_of(text, hit) if hit else []})
                 kind = pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
                 names = [f.name for f in kept]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], names=[*names, "hits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], names=[*names, hits])
 
-        out = (out.drop("hits") if k == 0 else out).mapInArrow(run, schema)
+        out = out.mapInArrow(run, schema)
     return out
 
 
@@ -149,4 +151,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark window, with their own columns."""
-    return find_contamination(docs, benchmark).filter(F.size("hits.words") == 0).drop("hits")
+    name = "hits"
+    while name in docs.columns:
+        name = f"_{name}"
+    return find_contamination(docs, benchmark, hits=name).filter(F.size(f"{name}.words") == 0).drop(name)
