@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hopgrid.llm import decontaminate as dec
 from hopgrid.llm import fingerprint as fp
-from hopgrid.llm import html_text, lm_score, mixing, near_dup, quality, token_index, warc
+from hopgrid.llm import html_text, lm_score, mixing, near_dup, quality, token_counts, token_index, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -321,6 +321,37 @@ def test_deduplicate_keeps_one(spark, docs):
     assert out.columns == docs.columns and len(ids) == len(set(ids)) and {18, 21} - set(ids) == {21}
 
 
+# -- token counts
+
+
+def plain_count(word, pieces):
+    """Viterbi over one word by itself."""
+    word = "▁" + word
+    best = [(0.0, 0)]
+    for i in range(1, len(word) + 1):
+        n = len(word[i - 1].encode())
+        options = [(-(best[i - 1][0] + n * pieces.byte), best[i - 1][1] + n)]
+        options += [(-(pieces.score[word[j:i]] + best[j][0]), best[j][1] + 1) for j in range(i) if word[j:i] in pieces.score]
+        s, c = min(options)
+        best.append((-s, c))
+    return best[-1][1]
+
+
+def test_token_counts(spark, docs, none):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = token_counts.Pieces.load(path)
+    rows = [r.asDict() for r in docs.collect()]
+    want = Counter((r["doc_id"], len(w), sum(plain_count(x, pieces) for x in w)) for r in rows for w in [WORD.findall(r["text"] or "")])
+    assert Counter(map(tuple, token_counts.token_counts(docs, path).collect())) == want
+    assert token_counts.token_counts(none, path).count() == 0
+
+
+def test_shared_prefixes_equal_single_words():
+    pieces = token_counts.Pieces(["▁", "a", "b", "ab", "▁ab", "aba", "bab", "▁abab"])
+    words = sorted({"".join(p) for n in range(1, 6) for p in __import__("itertools").product("abé", repeat=n)})
+    assert pieces.counts(words) == [plain_count(w, pieces) for w in words]
+
+
 # -- fingerprints
 
 
