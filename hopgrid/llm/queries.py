@@ -45,6 +45,14 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_report
 
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_mixing": op4_mixing,
     "op5_near_dup": op5_near_dup,
+    "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
