@@ -27,6 +27,12 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
+def utf8(value) -> bytes:
+    """UTF-8 bytes of an Arrow string value; null gives none."""
+    buffer = value.as_buffer()
+    return b"" if buffer is None else buffer.to_pybytes()
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """URI of a new folder that the driver and all executors see, below ``spark.checkpoint.dir``.
 
@@ -46,15 +52,36 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+    _FOLDERS.append(uri)
     return uri
 
 
+_FOLDERS: list[str] = []
+
+
+def folders_so_far() -> int:
+    """A mark for ``release_since``."""
+    return len(_FOLDERS)
+
+
+def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the shared folders made since ``mark``, but for those of the written tables ``keep``."""
+    kept = {df._folder for df in keep}
+    for uri in _FOLDERS[mark:]:
+        if uri not in kept:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _FOLDERS.remove(uri)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     uri = shared_dir(spark, label)
     df.write.mode("overwrite").parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    out = spark.read.schema(df.schema).parquet(uri)
+    out._folder = uri
+    return out
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, conf_int, materialize
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
@@ -104,7 +104,8 @@ def slots(sources: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> Da
     before = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({"first": F.coalesce(F.sum("n_slots").over(before), F.lit(0)), "all_slots": F.sum("n_slots").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     s = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {SLOT_RUN}"))))
-    s = s.repartition("skey", "run").withColumn("t", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
+    tasks = conf_int(sources.sparkSession, "spark.sql.shuffle.partitions", 200)
+    s = s.repartition(tasks, "skey", "run").withColumn("t", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
     s = s.withColumns({"pass": F.expr("t div n_blocks"), "j": F.col("t") % F.col("n_blocks"), "global": F.col("first") + F.col("t")})
     s = permuted(s, "j", "n_full", ["skey", "pass"], "block_no", f"{seed}-block")
     s = permuted(s, "global", "all_slots", [], "place", f"{seed}-place")

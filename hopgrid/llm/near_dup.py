@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, words_of
+from .common import folders_so_far, lower_ascii, materialize, release_since, words_of
 
 TREES = 24
 DEPTH = 4
@@ -39,6 +39,7 @@ VALUES = TREES * DEPTH
 SMALL = 8
 NEIGHBOURS = 3
 TILE = 256
+BROADCAST_IDS = 1_000_000
 MEMO_WORDS = 300_000
 _A = (np.random.RandomState(7).randint(0, 1 << 31, VALUES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.RandomState(11).randint(0, 1 << 31, VALUES).astype(np.uint32)
@@ -184,6 +185,7 @@ def components(links: DataFrame) -> DataFrame:
     Minima are pre-aggregated before each shuffle and every round is written, so a hub costs no
     single task and no long lineage.
     """
+    mark = folders_so_far()
     e = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while True:
         sym = e.union(e.select("v", "u"))
@@ -196,7 +198,10 @@ def components(links: DataFrame) -> DataFrame:
         n, sources = new.count(), new.select("u").distinct().count()
         if n == sources and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             out = new.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            return materialize(out.union(out.select("comp", "comp").distinct()), "components")
+            found = materialize(out.union(out.select("comp", "comp").distinct()), "components")
+            release_since(links.sparkSession, mark, found)
+            return found
+        release_since(links.sparkSession, mark, new)
         e = new
 
 
@@ -238,11 +243,13 @@ def _rest(big: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> Da
     right = rows.withColumn("j", part("rights")).withColumn("i", every("lefts"))
     left, right = (x.select("region", "i", "j", "node", "comp").join(few, "node") for x in (left, right))
     key = ["region", "i", "j"]
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own beside left's
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    mark = folders_so_far()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, cid binary, sig binary"), "sketches")
     classes = materialize(sketch.filter("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count("*").alias("n")), "classes")
@@ -262,7 +269,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    sets = materialize(texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(full_sets, "node long, set binary").filter("length(set) > 0").distinct(), "sets")
+    wanted = materialize(wanted.select(F.col("node").alias("doc_id")), "set-nodes")
+    # The texts needn't be shuffled while the wanted ids are few; beyond that they are.
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = materialize(texts.join(few, "doc_id", "left_semi").mapInArrow(full_sets, "node long, set binary").filter("length(set) > 0").distinct(), "sets")
 
     both = pairs.select("a", "b", "trees").union(pairs.select("b", "a", "trees"))
     best = both.groupBy("a").agg(F.max(F.struct("trees", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
@@ -282,6 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Only classes of several rows and linked nodes need a lookup; both tables are written, so a hot class is split.
     several = materialize(classes.filter("n > 1").select("cid", "node"), "copy-classes")
+    release_since(docs.sparkSession, mark, sketch, several, comps)
     rows = sketch.select("doc_id", "n_shingles", "cid").join(several, "cid", "left").withColumn("node", F.coalesce("node", "doc_id"))
     rows = rows.select("doc_id", "n_shingles", "node").join(comps, "node", "left")
     rows = rows.withColumn("component_id", F.coalesce("comp", "node"))
@@ -293,6 +304,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     Repeated rows of a kept doc_id leave one row; rows without doc_id are kept.
     """
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select("doc_id").distinct()
+    mark = folders_so_far()
+    kept = materialize(near_duplicates(docs, shingle, percent).filter("kept").select("doc_id").distinct(), "kept-ids")
+    release_since(docs.sparkSession, mark, kept)
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null"))
