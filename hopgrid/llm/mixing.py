@@ -135,7 +135,8 @@ def mixed(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataF
     placed = materialize(packed(sizes), "mix-places")
     pieces = placed.filter("size > 0").withColumn("block_no", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     pieces = pieces.withColumns({"lo": F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0)), "hi": F.least(F.col("start") + F.col("size") - F.col("block_no") * block, F.lit(block))})
-    joined = pieces.join(takes, ["skey", "block_no"], "left")
+    # One row a block: it grows with the words, and its estimate (from a row a source) would have it broadcast.
+    joined = pieces.join(takes.hint("merge"), ["skey", "block_no"], "left")
     part = F.coalesce(F.col("n_whole"), F.lit(0)) * (F.col("hi") - F.col("lo")) + F.greatest(F.least(F.col("hi"), F.coalesce(F.col("cut"), F.lit(0))) - F.col("lo"), F.lit(0))
     taken = joined.groupBy("skey", "start", "doc_id", "tie", "size").agg(F.sum(part).cast("long").alias("taken"))
     rows = taken.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
