@@ -6,7 +6,8 @@ pass, whose last slot is cut so that the words taken equal the rounded target. S
 sources are dealt to positions of the output shards through one pseudorandom permutation: the
 source counts of a shard follow the multinomial law given the sources' totals (a free draw could
 pass a source's cap). Within a source, slots are mapped to blocks by a permutation of its own for
-each pass, and blocks are joined with the documents by index.
+each pass, and blocks are joined with the documents by index: the mix is the pieces of documents
+that lie in the blocks taken.
 
 Prefix sums have two levels (hashed chunks, then chunk totals), so no source is gathered in one
 task. Everything depends on the rows and the seed only; reruns agree.
@@ -29,6 +30,8 @@ CHUNK_ROWS = 512
 MOST_CHUNKS = 20_000
 SLOT_RUN = 2048
 ROUNDS = 3
+#: A word and the white space after it; the first word of a text also has that before it.
+SPACED_WORD = r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"
 
 
 def source_key() -> Column:
@@ -127,18 +130,32 @@ def packed(sizes: DataFrame) -> DataFrame:
     return rows.join(base, ["skey", "chunk"]).withColumn("start", F.col("base") + F.col("inner")).drop("chunk", "inner", "base")
 
 
-def mixed(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
-    """Per document: doc_id, tie, skey, size, source_size, target, taken."""
+def chosen(placed: DataFrame, slots_: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The words of ``placed`` that the slots take: skey, start, block_no, pass, lo, hi.
+
+    One row per document, block and slot: words lo to hi (of the document, from 0, hi left out).
+    """
+    rows = placed.filter("size > 0").select("skey", "start", "size").withColumn("block_no", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
+    # One row a block: it grows with the words, and its estimate (from a row a source) would have it broadcast.
+    joined = rows.join(slots_.hint("merge"), ["skey", "block_no"])
+    first = F.col("block_no") * block - F.col("start")
+    joined = joined.withColumns({"lo": F.greatest(first, F.lit(0)), "hi": F.least(F.col("size"), first + F.col("words"))}).filter("lo < hi")
+    return joined.select("skey", "start", "block_no", "pass", "lo", "hi")
+
+
+def _mix(docs: DataFrame, block: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents at their places, sources with targets, and the pieces taken."""
     sizes = materialize(sized(docs), "mix-sizes")
     sources = materialize(targets(sizes), "mix-targets")
-    takes = slots(sources, block, seed).groupBy("skey", "block_no").agg(F.sum(F.col("whole").cast("long")).alias("n_whole"), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("words"))).alias("cut"))
     placed = materialize(packed(sizes), "mix-places")
-    pieces = placed.filter("size > 0").withColumn("block_no", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    pieces = pieces.withColumns({"lo": F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0)), "hi": F.least(F.col("start") + F.col("size") - F.col("block_no") * block, F.lit(block))})
-    # One row a block: it grows with the words, and its estimate (from a row a source) would have it broadcast.
-    joined = pieces.join(takes.hint("merge"), ["skey", "block_no"], "left")
-    part = F.coalesce(F.col("n_whole"), F.lit(0)) * (F.col("hi") - F.col("lo")) + F.greatest(F.least(F.col("hi"), F.coalesce(F.col("cut"), F.lit(0))) - F.col("lo"), F.lit(0))
-    taken = joined.groupBy("skey", "start", "doc_id", "tie", "size").agg(F.sum(part).cast("long").alias("taken"))
+    return placed, sources, chosen(placed, slots(sources, block, seed), block)
+
+
+def mixed(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+    """Per document: doc_id, tie, skey, size, source_size, target, taken."""
+    placed, sources, pieces = _mix(docs, block, seed)
+    sums = pieces.groupBy("skey", "start").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("taken"))
+    taken = placed.filter("size > 0").join(sums.hint("merge"), ["skey", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     rows = taken.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return rows.join(sources, "skey").select("doc_id", "tie", "skey", "size", "source_size", "target", "taken")
 
@@ -147,18 +164,24 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The documents as the mix takes them, with their own columns.
+def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+    """The pieces that the mix takes, each a row with the columns of its document.
 
-    A document of n words of which the mix takes q*n + r gives q whole rows and, for r > 0, one
-    row with its first r words. Rows equal in doc_id, source and text share what they take.
+    A piece is the part of one document in one block, once for each slot of the block. Its text is
+    cut from the document's as it stands: a word goes with the white space after it, the first one
+    also with that before it. Rows equal in doc_id, source and text are numbered.
     """
     cols = docs.columns
-    counts = mixed(docs, seed=seed).groupBy("doc_id", "skey", "tie", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("m"))
-    counts = counts.filter("taken > 0").select(F.xxhash64("doc_id", "skey", "tie").alias("_k"), F.col("doc_id").alias("_id"), F.col("skey").alias("_s"), F.col("tie").alias("_t"), F.col("size").alias("_n"), F.round(F.col("taken") / F.col("m")).cast("long").alias("_w"))
-    keyed = docs.withColumns({"_s": source_key(), "_t": F.xxhash64("text")}).withColumn("_k", F.xxhash64("doc_id", "_s", "_t"))
-    joined = keyed.alias("d").join(counts.alias("c"), (F.col("d._k") == F.col("c._k")) & F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._s") == F.col("c._s")) & (F.col("d._t") == F.col("c._t")))
-    joined = joined.select("d.*", "c._n", "c._w").withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(_w + _n - 1) div _n"))))
-    r = F.col("_w") - (F.col("_part") - 1) * F.col("_n")
-    text = F.when(r >= F.col("_n"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, r.cast("int")), " "))
-    return joined.withColumn("text", text).select(*cols)
+    key = ["_i", "_s", "_t"]
+    id_ = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    number = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by))
+    placed, _, pieces = _mix(docs, block, seed)
+    lists = pieces.groupBy("skey", "start").agg(F.collect_list(F.struct("lo", "hi")).alias("_pieces"))
+    owners = placed.filter("size > 0").select(id_("doc_id").alias("_i"), F.col("skey").alias("_s"), F.col("tie").alias("_t"), "start").withColumn("_c", number("start"))
+    owned = owners.join(lists.hint("merge"), (F.col("_s") == F.col("skey")) & (owners["start"] == lists["start"])).select(*key, "_c", "_pieces")
+    keyed = docs.withColumns({"_i": id_("doc_id"), "_s": source_key(), "_t": F.xxhash64("text")}).withColumn("_c", number(F.xxhash64(*cols)))
+    joined = keyed.join(owned.hint("merge"), [*key, "_c"])
+    cut = lambda words: F.transform("_pieces", lambda x: F.array_join(F.slice(words, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")), ""))
+    # The words are an element here so that they are found once a document, not once a piece.
+    texts = F.transform(F.array(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))), cut)[0]
+    return joined.select(*(c for c in cols if c != "text"), F.explode(texts).alias("text")).select(*cols)

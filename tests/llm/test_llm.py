@@ -265,6 +265,21 @@ def test_mixed_documents_keep_their_columns(spark, docs):
     assert words == sum(r["taken"] for r in mixing.mix_report(docs).collect())
 
 
+def test_mixed_texts_are_the_words_of_the_chosen_blocks(spark):
+    text = lambda i: "  " + "".join(f"d{i}w{j}" + ("\t\n" if j % 3 else " ") for j in range(i * 37 % 150))
+    rows = [(i, text(i), "abc"[i % 3]) for i in range(40)] + [(7, text(7), "b"), (None, text(5), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    placed, sources, _ = mixing._mix(df, 16, "mix")
+    blocks, texts = {}, {r[0]: r[1] for r in rows}
+    for r in sorted(placed.collect(), key=lambda r: r["start"]):
+        for w in WORD.findall(texts[r["doc_id"]]):
+            blocks.setdefault(r["skey"], []).append(w)
+    want = Counter(w for s in mixing.slots(sources, 16).collect() for w in blocks[s["skey"]][s["block_no"] * 16 :][: s["words"]])
+    got = [r["text"] for r in mixing.mix_documents(df, 16).collect()]
+    assert Counter(w for t in got for w in WORD.findall(t)) == want
+    assert all(len(WORD.findall(t)) <= 16 and any(t in r[1] for r in rows) for t in got)
+
+
 # -- near duplicates
 
 
