@@ -5,7 +5,7 @@ source's target is turned into block slots: whole passes over its blocks, then p
 pass, whose last slot is cut so that the words taken equal the rounded target. Slots of all
 sources are dealt to positions of the output shards through one pseudorandom permutation: the
 source counts of a shard follow the multinomial law given the sources' totals (a free draw could
-pass a source's cap). Within a source, slots are mapped to blocks by a permutation of its own for
+pass a source's cap). Each piece goes to the shard and position of its slot; the mix is written so. Within a source, slots are mapped to blocks by a permutation of its own for
 each pass, and blocks are joined with the documents by index: the mix is the pieces of documents
 that lie in the blocks taken.
 
@@ -131,37 +131,43 @@ def packed(sizes: DataFrame) -> DataFrame:
 
 
 def chosen(placed: DataFrame, slots_: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """The words of ``placed`` that the slots take: skey, start, block_no, pass, lo, hi.
+    """The words of ``placed`` that the slots take: skey, start, block_no, pass, lo, hi, shard, position.
 
-    One row per document, block and slot: words lo to hi (of the document, from 0, hi left out).
+    One row per document, block and slot: words lo to hi (of the document, from 0, hi left out), and
+    the slot's place in the output. Pieces of one slot follow each other by start.
     """
     rows = placed.filter("size > 0").select("skey", "start", "size").withColumn("block_no", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     # One row a block: it grows with the words, and its estimate (from a row a source) would have it broadcast.
     joined = rows.join(slots_.hint("merge"), ["skey", "block_no"])
     first = F.col("block_no") * block - F.col("start")
     joined = joined.withColumns({"lo": F.greatest(first, F.lit(0)), "hi": F.least(F.col("size"), first + F.col("words"))}).filter("lo < hi")
-    return joined.select("skey", "start", "block_no", "pass", "lo", "hi")
+    return joined.select("skey", "start", "block_no", "pass", "lo", "hi", "shard", "position")
+
+
+def by_shard(pieces: DataFrame) -> DataFrame:
+    """Each shard whole in one task, in order."""
+    return pieces.repartition("shard").sortWithinPartitions("shard", "position", "start")
 
 
 def _mix(docs: DataFrame, block: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents at their places, sources with targets, and the pieces taken."""
+    """Documents at their places, sources with targets, and the mix: the pieces taken, written shard by shard in order."""
     sizes = materialize(sized(docs), "mix-sizes")
     sources = materialize(targets(sizes), "mix-targets")
     placed = materialize(packed(sizes), "mix-places")
-    return placed, sources, chosen(placed, slots(sources, block, seed), block)
+    return placed, sources, materialize(by_shard(chosen(placed, slots(sources, block, seed), block)), "mix-pieces")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
-    """Per document: doc_id, tie, skey, size, source_size, target, taken."""
+    """Per document: doc_id, tie, skey, size, source_size, target, taken, and its first place in the mix: shard, position."""
     placed, sources, pieces = _mix(docs, block, seed)
-    sums = pieces.groupBy("skey", "start").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("taken"))
+    sums = pieces.groupBy("skey", "start").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("taken"), F.min(F.struct("shard", "position")).alias("first"))
     taken = placed.filter("size > 0").join(sums.hint("merge"), ["skey", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    rows = taken.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.join(sources, "skey").select("doc_id", "tie", "skey", "size", "source_size", "target", "taken")
+    rows = taken.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")), allowMissingColumns=True)
+    return rows.join(sources, "skey").select("doc_id", "tie", "skey", "size", "source_size", "target", "taken", "first.shard", "first.position")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "shard", "position")
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
@@ -169,19 +175,23 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix")
 
     A piece is the part of one document in one block, once for each slot of the block. Its text is
     cut from the document's as it stands: a word goes with the white space after it, the first one
-    also with that before it. Rows equal in doc_id, source and text are numbered.
+    also with that before it. Rows equal in doc_id, source and text are numbered. The rows come
+    shard by shard, in the order of the mix.
     """
     cols = docs.columns
     key = ["_i", "_s", "_t"]
     id_ = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     number = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by))
     placed, _, pieces = _mix(docs, block, seed)
-    lists = pieces.groupBy("skey", "start").agg(F.collect_list(F.struct("lo", "hi")).alias("_pieces"))
+    lists = pieces.groupBy("skey", "start").agg(F.collect_list(F.struct("lo", "hi", "shard", "position")).alias("_pieces"))
     owners = placed.filter("size > 0").select(id_("doc_id").alias("_i"), F.col("skey").alias("_s"), F.col("tie").alias("_t"), "start").withColumn("_c", number("start"))
-    owned = owners.join(lists.hint("merge"), (F.col("_s") == F.col("skey")) & (owners["start"] == lists["start"])).select(*key, "_c", "_pieces")
+    owned = owners.join(lists.hint("merge"), (F.col("_s") == F.col("skey")) & (owners["start"] == lists["start"])).select(*key, "_c", owners["start"].alias("_start"), "_pieces")
     keyed = docs.withColumns({"_i": id_("doc_id"), "_s": source_key(), "_t": F.xxhash64("text")}).withColumn("_c", number(F.xxhash64(*cols)))
     joined = keyed.join(owned.hint("merge"), [*key, "_c"])
-    cut = lambda words: F.transform("_pieces", lambda x: F.array_join(F.slice(words, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")), ""))
+    text = lambda words, x: F.array_join(F.slice(words, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")), "")
+    cut = lambda words: F.transform("_pieces", lambda x: F.struct(x["shard"].alias("shard"), x["position"].alias("position"), text(words, x).alias("text")))
     # The words are an element here so that they are found once a document, not once a piece.
     texts = F.transform(F.array(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))), cut)[0]
-    return joined.select(*(c for c in cols if c != "text"), F.explode(texts).alias("text")).select(*cols)
+    rows = joined.select(*(F.col(c).alias(f"_d{n}") for n, c in enumerate(cols) if c != "text"), F.col("_start").alias("start"), F.explode(texts).alias("_p"))
+    rows = by_shard(rows.withColumns({"shard": F.col("_p.shard"), "position": F.col("_p.position")}))
+    return rows.select(*(F.col("_p.text").alias(c) if c == "text" else F.col(f"_d{n}").alias(c) for n, c in enumerate(cols)))

@@ -280,6 +280,39 @@ def test_mixed_texts_are_the_words_of_the_chosen_blocks(spark):
     assert all(len(WORD.findall(t)) <= 16 and any(t in r[1] for r in rows) for t in got)
 
 
+def test_mix_is_written_by_the_shards_drawn(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 8)
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.concat(F.lit("d"), F.repeat(F.lit("w "), (F.col("id") * 7 % 50 + 1).cast("int"))).alias("text"))
+    placed, sources, pieces = mixing._mix(df, 16, "mix")
+    drawn = Counter((s["shard"], s["skey"]) for s in mixing.slots(sources, 16).collect())
+    places = {(p["shard"], p["position"], p["skey"]) for p in pieces.collect()}
+    assert Counter((s, k) for s, _, k in places) == drawn and len({s for s, _, _ in places}) > 3
+    assert len(places) == len({p[:2] for p in places}) == sum(drawn.values())
+    ids = {(r["skey"], r["start"]): r["doc_id"] for r in placed.filter("size > 0").collect()}
+    first = {}
+    for p in pieces.collect():
+        i = ids[p["skey"], p["start"]]
+        first[i] = min(first.get(i, (1 << 60, 0)), (p["shard"], p["position"]))
+    got = mixing.mixed(df, 16).select("doc_id", "shard", "position").collect()
+    assert {r["doc_id"]: (r["shard"], r["position"]) for r in got if r["shard"] is not None} == first
+    assert {"shard", "position"} <= set(mixing.mix_report(df).columns)
+    # The documents come in the order of the mix: each task holds whole shards.
+    order = sorted(((p["shard"], p["position"], p["start"], ids[p["skey"], p["start"]]) for p in pieces.collect()))
+    parts = mixing.mix_documents(df, 16).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    by_part = {}
+    for r in parts:
+        by_part.setdefault(r["part"], []).append(r["doc_id"])
+    runs = {}
+    for s, _, _, i in order:
+        runs.setdefault(s, []).append(i)
+    left = dict(runs)
+    for found in by_part.values():
+        while found:
+            s = next(s for s in sorted(left) if left[s] == found[: len(left[s])])
+            found = found[len(left.pop(s)) :]
+    assert not left
+
+
 # -- near duplicates
 
 
