@@ -9,8 +9,9 @@ all ids before it in its window. Windows of WINDOW ids overlap by OVERLAP: each
 with at least OVERLAP ids before it where the text has them.
 
 Training. Statistics are sums over all training documents. The layer is trained by data-parallel
-rounds: every trainer takes one in RATE of its documents' windows (by hash, so all documents and
-every size alike), trains from the common weights, and the weights are averaged.
+rounds: a hash of doc_id, ids and the window's number deals every window of the training documents
+to one of ROUNDS rounds; in each, every trainer takes its windows, trains from the common weights,
+and the weights are averaged.
 
 Base. Words and an end per text under an add-half unigram of the training documents. The most
 frequent words (at most HEAD) are looked up where the text is; the rest are joined by hash.
@@ -43,7 +44,7 @@ PAIRS = 1 << 16
 DIM, HIDDEN = 16, 32
 FEATURES = 1 << 13
 WINDOW, OVERLAP = 32, 4
-RATE, ROUNDS, BATCH, STEP = 8, 2, 128, 0.004
+ROUNDS, BATCH, STEP = 2, 128, 0.004
 DISCOUNT, PAIR_PRIOR = 0.75, 1.0
 HEAD = 500_000
 PARTS = 64
@@ -357,6 +358,13 @@ def _batches(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return x[at], before, x[at + 1], counted, row
 
 
+def rounds_of(doc_ids: list[int | None], blobs: list[bytes], row: np.ndarray) -> np.ndarray:
+    """The round that trains on each window; ``row`` has the window's document, ascending. Every window has one."""
+    key = np.array([zlib.crc32(x, zlib.crc32(str(i).encode())) for i, x in zip(doc_ids, blobs)], np.uint64)
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return (pair_bucket(key[row], nth) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def _train(folder: str, stats_name: str, lut_name: str, weights_name: str, width: int, turn: int):
     """Train on this task's windows of the turn; gives the weights, weighted by the steps taken."""
 
@@ -379,11 +387,9 @@ def _train(folder: str, stats_name: str, lut_name: str, weights_name: str, width
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                seqs = _sequences(b.column("ids").to_pylist(), lut, width)
-                ids, before, target, counted, row = _batches(seqs)
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                rid = b.column("rid").to_numpy()[row].astype(np.uint64)
-                pick = pair_bucket(rid % np.uint64(1 << 31), nth) % np.uint64(RATE * ROUNDS) // np.uint64(1) == np.uint64(turn)
+                blobs = b.column("ids").to_pylist()
+                ids, before, target, counted, row = _batches(_sequences(blobs, lut, width))
+                pick = rounds_of(b.column("doc_id").to_pylist(), blobs, row) == turn
                 if pick.any():
                     pool.append([c[pick] for c in (ids, before, target, counted)])
                     waiting += int(pick.sum())
@@ -557,6 +563,6 @@ def lm_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = shared_dir(docs.sparkSession, "lm")
     coded, base = encoded(texts, folder, tokenizer_path)
-    names = train(coded.select("rid", "held_out", "ids"), folder, width, vocabulary)
+    names = train(coded.select("doc_id", "held_out", "ids"), folder, width, vocabulary)
     scored = coded.select("rid", "ids").mapInArrow(_score(folder, names[1], names[0], names[2], width), "rid long, score double")
     return base.join(scored, "rid").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -8,6 +8,7 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("hopgrid.llm")
@@ -208,6 +209,24 @@ def test_windows_count_each_target_once():
     assert sorted(at[counted].tolist()) == [i for s, o in zip(seqs, np.cumsum([0, 2, 32, 33, 34])) for i in range(o, o + len(s) - 1)]
 
 
+def test_training_takes_every_window_once(monkeypatch):
+    r = np.random.RandomState(4)
+    blobs = [r.randint(0, 50, n).astype("<u2").tobytes() for n in (0, 5, 40, 300, 40, 700)]
+    doc_ids = [1, None, 3, 4, 5, 6]
+    table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(blobs, pa.binary()), "rid": pa.array(range(6), pa.int64())})
+    lut = np.arange(1, 51)
+    seen = Counter()
+    monkeypatch.setattr(lm_score, "_load", lambda folder, name: {"lut": {"lut": lut}, "stats": {}, "weights": {"b1": np.zeros(1, np.float32)}}[name])
+    monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, *batch: seen.update(x.tobytes() + y.tobytes() for x, y in zip(batch[0], batch[2])) or {})
+    want = Counter(x.tobytes() + y.tobytes() for ids, _, target, _, _ in [lm_score._batches(lm_score._sequences(blobs, lut, 2))] for x, y in zip(ids, target))
+    for parts in ([table], [table.slice(3), table.slice(0, 3)]):
+        seen.clear()
+        for turn in range(lm_score.ROUNDS):
+            for part in parts:
+                list(lm_score._train("", "stats", "lut", "weights", 2, turn)(iter(part.to_batches())))
+        assert seen == want
+
+
 # -- mixing
 
 
