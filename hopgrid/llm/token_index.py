@@ -8,7 +8,7 @@ Layout of an output folder::
     index (Parquet)                     one row per index bucket: a minimal perfect hash (bit levels with
                                         ranks), stored fingerprints and the location of every key
 
-Rows are written in ascending ``doc_id`` order (nulls first; equal ids by text).
+Rows are written in ascending ``doc_id`` order (nulls first; equal ids by a hash of the text).
 Files are named by task attempt and only the manifest of successful tasks points
 at them, so a lost executor leaves orphans but never a wrong byte.
 Defined cases: null or empty text encodes to the end id alone; repeated keys are
@@ -18,6 +18,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
 import zlib
@@ -39,90 +40,85 @@ END_ID = 1
 # --------------------------------------------------------------------------- encoding
 
 _MEMO: dict[str, "MemoEncoder"] = {}
+#: A stop that ends a piece and stands after a letter.
+_STOP = re.compile(r"[.,](?<=[^\W\d_].)(?= |\Z)")
 
 
 class MemoEncoder:
-    """Exact tokenizer ids of whole texts, with a bounded memo of space-separated pieces.
-
-    Pre-tokens of this tokenizer never cross a space, so a text's ids are the
-    concatenation of its pieces' ids. A piece that is not in the memo is cut at
-    newlines and at one final ``.`` or ``,``; a purely alphabetic rest is one
-    pre-token and goes straight to the library's BPE model; all else goes through the whole tokenizer.
+    """The library's ids of whole texts, with a bounded memo of space-separated pieces.
+
+    The tokenizer's normaliser and pre-tokenizer never join anything over white space, so a text's
+    ids are those of its pieces. Where it changes nothing, a text is lower-cased first (the
+    tokenizer does so itself) and a final ``.`` or ``,`` is set apart from the letter before it,
+    which gives far fewer different pieces; other texts are split as they stand. All ids come from
+    the library: unknown words of letters go to it as one text, of which each word's ids end with a
+    word-end piece, other unknown pieces as a batch. Frequent pieces outlive a full memo.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.memo: dict[str, bytes] = {"": b""}
-        self.bytemap = self._byte_alphabet()
-        self.direct = self._direct_holds()
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
+        self.memo, self.old = {"": b""}, {}
 
     @staticmethod
-    def _byte_alphabet() -> dict[int, str]:
-        """The printable stand-in of each byte in byte-level vocabularies: visible Latin-1 bytes stand for
-        themselves, the others take code points from 256 on."""
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        table = {b: chr(b) for b in seen}
-        for n, b in enumerate(x for x in range(256) if x not in table):
-            table[b] = chr(256 + n)
-        return table
-
-    def _direct_holds(self) -> bool:
-        probe = ["the", "straße", "élan", "ñandú", "queueaux", "zxqjk", "Абв", "中文"]
-        return all(self._word(w) == self._whole(w) for w in probe)
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> bytes:
-        low = word.lower()
-        if not low.isascii():
-            low = low.encode().decode("latin-1").translate(self.bytemap)
-        return self._pack([t.id for t in self.model.tokenize(low)])
-
-    def _core(self, word: str) -> bytes:
-        memo = self.memo
-        if (got := memo.get(word)) is not None:
-            return got
-        plain = word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word) and word.lower().isalpha() and len(word.lower()) == len(word))
-        got = self._word(word) if self.direct and plain and word.isalpha() else self._whole(word)
-        memo[word] = got
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        out = []
-        for part in piece.split("\n"):
-            if len(part) > 1 and part[-1] in ".," and part[:-1].isalpha():
-                out += (self._core(part[:-1].lower() if part.isascii() else part[:-1]), self._core(part[-1]))
-            elif part:
-                out.append(self._core(part.lower() if part.isascii() and part.isalpha() else part))
-        return b"".join(out)
+    def spaced(text: str) -> str:
+        """``text`` with the same ids, split at spaces into few different pieces where that is safe."""
+        if not text.isascii():
+            low = text.lower()
+            same = len(low) == len(text) and "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+            if not same:
+                return text
+        elif "<|" not in text:
+            low = text.lower()
+        if "<|" in text:  # special tokens are told by their case
+            return text
+        return _STOP.sub(r" \g<0>", low.replace("\n", " "))
+
+    def _learn(self, missing: set[str]) -> None:
+        """Put the pieces' ids into the memo."""
+        memo, old = self.memo, self.old
+        words, others = [], []
+        for piece in missing:
+            if (got := old.get(piece)) is not None:
+                memo[piece] = got
+            elif piece.isalpha() and piece.islower() and len(piece.lower()) == len(piece):
+                words.append(piece)
+            else:
+                others.append(piece)
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(some):
+                others += some
+                continue
+            raw, at = ids.tobytes(), (at * self.width).tolist()
+            memo.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at)]))
+        for i in range(0, len(others), 500):
+            some = others[i : i + 500]
+            for piece, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                memo[piece] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Raw ids of each text; null gives none."""
+        out: list = [None] * len(texts)
+        for start in range(0, len(texts), 256):
+            if len(self.memo) > MEMO_WORDS:
+                self.old, self.memo = self.memo, {"": b""}
+            split = [self.spaced(t).split(" ") if t else [] for t in texts[start : start + 256]]
+            missing = set().union(*split).difference(self.memo)
+            if missing:
+                self._learn(missing)
+            get = self.memo.__getitem__
+            out[start : start + 256] = [b"".join(map(get, x)) for x in split]
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        memo = self.memo
-        pieces = text.split(" ")
-        found = list(map(memo.get, pieces))
-        if None in found:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                memo[""] = b""
-                found = [None] * len(pieces)
-            for i, got in enumerate(found):
-                if got is None:
-                    piece = pieces[i]
-                    found[i] = memo.get(piece)
-                    if found[i] is None:
-                        found[i] = memo[piece] = self._piece(piece)
-        return b"".join(found)
+        return self.encode_all([text])[0]
 
 
 def encoder(path: str) -> MemoEncoder:
@@ -217,13 +213,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         for batch in batches:
             ids, rows = batch.column(0), []
             keys = ids.to_pylist()
-            for key, text in zip(keys, batch.column(1)):
+            for key, own in zip(keys, enc.encode_all(batch.column(1).to_pylist())):
                 if out is None or (at >= shard_bytes and key != last):
                     if out is not None:
                         close()
                     name, k, lens, row, at = f"ids-{part:06d}-{attempt}-{k}", k + 1, [], 0, 0
                     out = fs.open_output_stream(f"{root}/{name}.bin")
-                payload = enc.encode(text.as_py()) + end
+                payload = own + end
                 out.write(payload)
                 n = len(payload) // enc.width
                 rows.append((part, name, row, at, n, before))
@@ -237,7 +233,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if out is not None:
             close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranged by the text's hash too, so that rows of one doc_id are split like any others.
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, _MANIFEST), "manifest")
 
 
