@@ -141,6 +141,26 @@ def test_salvage(gz):
     assert _salvage(b"") == ([], []) and _salvage(b"nothing here") == ([], [(0, 12)])
 
 
+def test_encoder_on_letters_that_change_when_lowered():
+    """Every character whose lower case has another length or class, composes, or is white space; and special tokens."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    enc, tok = token_index.MemoEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    odd = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (len(c.lower()) != 1 or c.isalpha() != c.lower().isalpha() or c.lower() != c or not unicodedata.is_normalized("NFC", c) or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc"))]
+    texts = [t for c in odd for t in (f"{c},", f"a{c}.", f"{c}A, {c}")] + ["<|ENDOFTEXT|> x.", "<|endoftext|>.", "wait... so, e.g. 3.5, 'Tis, x's, y'S.", "a,\nb.\n\nc"]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_encoder_memo_turns_over(monkeypatch):
+    monkeypatch.setattr(token_index, "MEMO_WORDS", 50)
+    enc, fresh = token_index.MemoEncoder(VOCABULARY), token_index.MemoEncoder(VOCABULARY)
+    texts = [" ".join(f"w{(i * j) % 97}x" for j in range(20)) for i in range(2000)]
+    assert enc.encode_all(texts) == [fresh.encode(t) for t in texts]
+
+
 # -- language model
 
 
@@ -507,11 +527,159 @@ def test_main_text():
     assert html_text.main_text("just text") == "just text" and html_text.main_text("1 < 2 <b>x") == "1 < 2 x"
 
 
-def test_main_text_of_all_pages(spark, sf_dir):
-    for r in html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("text", F.lit(1))).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
-        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        blocks = [" ".join(unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
-        assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+def test_names_are_evidence_only():
+    page = '<article><p>Intro</p><div class="social-history"><p>Long text about the history of it.</p></div><div id="search-results-analysis"><p>More.</p></div><div class="thread"><p>I disagree</p></div></article>'
+    assert html_text.main_text(page) == "Intro\n\nLong text about the history of it.\n\nMore."
+    large = '<div class="share"><p>' + "This part is most of the page. " * 200 + "</p></div><p>Short</p>"
+    assert html_text.main_text(large).startswith("This part")
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * n + "x" + "</div>" * n) == "x"
+        html_text.main_text("<b>" * n + "<p>x" * n)
+        html_text.main_text("<b><table><td>" + "<i>" * n + "</b>" * n + "y")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(20_000) < 20 * max(took(4_000), 0.05)  # 5 times the depth; the square would be 25 times the time
+
+
+def plain_main_text(page):
+    """The method written down once more, over the standard library's parser, with sums by recursion."""
+    import math
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.at = self.top = {"tag": "html", "kids": [], "up": None}
+            self.raw = 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "title"):
+                self.at["tags"] = self.at.get("tags", 0) + 1
+                self.raw += 1
+                return
+            if tag in ("br", "meta"):
+                self.at["tags"] = self.at.get("tags", 0) + 1
+                self.at["kids"].append(" ")
+                return
+            if tag == "html":
+                return
+            if tag in html_text.BLOCK:
+                x = self.at
+                while x and x["tag"] not in html_text.BLOCK:
+                    x = x["up"]
+                if x and x["tag"] == "p":
+                    self.at = x["up"]
+            new = {"tag": tag, "kids": [], "up": self.at, "attrs": dict(attrs)}
+            self.at["tags"] = self.at.get("tags", 0) + 1
+            self.at["kids"].append(new)
+            self.at = new
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "title"):
+                self.raw -= 1
+                return
+            x = self.at
+            while x and x["tag"] != tag:
+                x = x["up"]
+            if x and x["up"]:
+                self.at = x["up"]
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.at["kids"].append(data)
+
+    t = Tree()
+    t.feed(page)
+
+    def totals(x, marked, link, inside):
+        marked = marked or html_text._is_marked(x["tag"], x.get("attrs", {}), inside)
+        inside = inside or x["tag"] == "article"
+        own = sum(len(k) for k in x["kids"] if isinstance(k, str) and k != " ")
+        x |= {"marked": marked, "inside": inside, "own": own, "c": own, "t": x.get("tags", 0)}
+        x["lc"], x["lt"] = (own if marked or link or x["tag"] == "a" else 0), (x["t"] if marked else 0) + (x["tag"] == "a" and not marked)
+        for k in x["kids"]:
+            if not isinstance(k, str):
+                totals(k, marked, link or x["tag"] == "a", inside)
+                for n in ("c", "t", "lc", "lt"):
+                    x[n] += k[n]
+
+    totals(t.top, False, False, False)
+
+    def density(x):
+        if not x["c"]:
+            return 0.0
+        base = math.log(x["c"] * x["lc"] / max(1, x["c"] - x["lc"]) + t.top["lc"] / t.top["c"] * x["c"] + math.e)
+        return x["c"] / max(1, x["t"]) * math.log(max(1.0, x["c"] / max(1, x["lc"]) * max(1, x["t"]) / max(1, x["lt"]))) / math.log(max(base, math.e))
+
+    best, stack = (0.0, None), [t.top]
+    while stack:
+        x = stack.pop()
+        kids = [k for k in x["kids"] if not isinstance(k, str)]
+        stack += kids
+        s = (sum(map(density, kids)) + (density(x) * x["own"] / x["c"] if x["own"] else 0)) * (2 if x["inside"] else 1)
+        best = max(best, (s, x), key=lambda b: b[0])
+    path, x = [], best[1]
+    while x:
+        path.append(x)
+        x = x["up"]
+    top = next((x for x in reversed(path) if x["tag"] == "article"), best[1])
+    out, line = [], []
+
+    def flush():
+        text = " ".join("".join(line).split())
+        line.clear()
+        if text:
+            out.append(text)
+
+    def write(x):
+        for k in x["kids"]:
+            if isinstance(k, str):
+                line.append(k)
+            elif not k["marked"]:
+                if k["tag"] in html_text.BLOCK:
+                    flush()
+                write(k)
+                if k["tag"] in html_text.BLOCK:
+                    flush()
+
+    write(top)
+    flush()
+    return "\n\n".join(out)
+
+
+@pytest.fixture(scope="module")
+def web(sf_dir):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{sf_dir}/pages.parquet", columns=["html"]).column(0).to_pylist()
+
+
+def test_main_text_equals_the_plain_version(web):
+    for h in web:
+        assert html_text.main_text(h) == plain_main_text(h)
+
+
+def test_density_decides(web, monkeypatch):
+    want = [html_text.main_text(h) for h in web]
+    renamed = [html_text.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>")) for h in web]
+    assert sum(a == b for a, b in zip(want, renamed)) >= 0.98 * len(web)
+    monkeypatch.setattr(html_text, "_density", lambda n, share: 0.0)
+    assert not any(html_text.main_text(h) for h in web)
+
+
+def test_pages_through_spark(spark, web):
+    rows = [(1, "u", web[0]), (1, "u", web[0]), (2, None, None), (None, "v", ""), (3, "w", "<p>Some words " * 5000), (4, "x", web[1])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("mine")})
+    got = Counter(map(tuple, html_text.extract(df).collect()))
+    assert got == Counter((i, u, t, len(t)) for i, u, h in rows for t in [html_text.main_text(h)])
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 # -- decontamination
