@@ -1,23 +1,25 @@
 """Scoring texts with a causal self-attention model trained here, in numpy, on subword ids.
 
-Model. A text is START, its subword ids, END. The ids that are most frequent in training documents
-(at most KEPT) are the model's own; the others share the id RARE and a unigram. The next id is
-drawn in two steps, class and member. The logits of both start from corpus statistics of all
-training documents (a bigram table, and classes after hashed id pairs) and one masked attention
-layer with a feed-forward layer adds to them: it sees the id, its pair with the one before, and
-all ids before it in its window. Windows of WINDOW ids overlap by OVERLAP: each id is scored once,
-with at least OVERLAP ids before it where the text has them.
-
-Training. Statistics are sums over all training documents. The layer is trained by data-parallel
-rounds: a hash of doc_id, ids and the window's number deals every window of the training documents
-to one of ROUNDS rounds; in each, every trainer takes its windows, trains from the common weights,
-and the weights are averaged.
+Model. A text is START, its subword ids, END. Ids are ordered by their training count, so all ids of
+the vocabulary have rows of their own and frequent ones come first. Each place has the vectors of its
+id and of the id before it; masked attention of HEADS heads over the window and a feed-forward layer
+give the vector that predicts the next id in two steps: its class, then the id among the class's.
+Classes are runs of that order with about equal training counts (at most LARGEST ids each), so that
+both steps stay short where the counts are uneven. Windows of 2 * SPAN ids overlap by SPAN: the last
+SPAN ids of each are scored, so every id is scored once, with SPAN to 2 * SPAN - 1 ids before it
+where the text has them.
+
+Training. One pass over every window of every training document. Trainers take about TRAINER_IDS ids
+each; a hash of doc_id, ids and the window's number deals the windows to rounds (SHARES of 16). In a
+round every trainer goes on from the common weights over its windows; then weights and step sizes
+are averaged, weighted by steps, in groups of at most FAN trainers at a time. Only blocks of rows that
+a trainer has changed travel.
 
 Base. Words and an end per text under an add-half unigram of the training documents. The most
 frequent words (at most HEAD) are looked up where the text is; the rest are joined by hash.
 
 Defined cases: null text is empty (one end, known if any training text has one); null doc_id reads as
-"null" in the split; repeated rows are scored each; without training documents all ids are RARE and
+"null" in the split; repeated rows are scored each; without training documents all ids are about
 equally likely; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -30,26 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, open_fs, shared_dir, utf8
+from .common import hashed_words, materialize, mix64, open_fs, shared_dir
 from .token_index import encoder
 
-KEPT = 2048
-CLASSES, MEMBERS = 64, 32
-PAIRS = 1 << 16
-DIM, HIDDEN = 16, 32
-FEATURES = 1 << 13
-WINDOW, OVERLAP = 32, 4
-ROUNDS, BATCH, STEP = 2, 128, 0.004
-DISCOUNT, PAIR_PRIOR = 0.75, 1.0
+SPAN, DIM, HEADS, HIDDEN = 16, 24, 2, 48
+HEAD_DIM = DIM // HEADS
+WIDTH = 2 * SPAN + 2
+CLASSES, LARGEST = 48, 2048
+TRAINER_IDS = 8_000_000
+SHARES = (1, 3, 12)
+BATCH, BATCH_STEPS, LARGEST_BATCH, POOL = 64, 400, 512, 1 << 15
+STEP, TABLE_STEP = 0.004, 0.08
+ROW_BLOCK, FAN = 4096, 64
 HEAD = 500_000
-PARTS = 64
-END_WORD = xxhash.xxh3_64_intdigest(b"\x00end")
-START, RARE = KEPT - 1, 0  # START is also END
+END_WORD = 0x656E64
 
 # --------------------------------------------------------------------------- texts
 
@@ -58,193 +58,234 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
-_HASHES: dict[bytes, int] = {}
+def windows(seqs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the sequences (START, ids, END) and each window's row.
 
-
-def word_ids(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of UTF-8 text, and the end. Both methods of bytes know ASCII only: A-Z are
-    lowered, and words end at space and \\t-\\r."""
-    words = text.lower().split()
-    found = list(map(_HASHES.get, words))
-    if None in found:
-        if len(_HASHES) > 400_000:
-            _HASHES.clear()
-        for i, got in enumerate(found):
-            if got is None:
-                found[i] = _HASHES[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    found.append(END_WORD)
-    return np.array(found, np.uint64)
+    A window is WIDTH long: the id before, 2 * SPAN inputs, and the last target. The targets are its
+    last SPAN ids; places before the text and after it are ``pad``.
+    """
+    lens = np.array([len(s) for s in seqs], np.int64)
+    per = -(-(lens - 1) // SPAN)
+    sizes = per * SPAN + SPAN + 2
+    base = np.cumsum(sizes) - sizes
+    flat = np.full(int(sizes.sum()), pad, np.int32)
+    at = np.repeat(base + SPAN + 1 - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+    flat[at] = np.concatenate(seqs)
+    row = np.repeat(np.arange(len(seqs)), per)
+    first = base[row] + SPAN * (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per))
+    return flat[first[:, None] + np.arange(WIDTH)], row
 
 
 # --------------------------------------------------------------------------- model
 
 
-def windows(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the windows' ids in the joined sequences (W, WINDOW), which targets count, and each window's row.
+class Layout:
+    """The order of symbols (ids, and the end after them) by training count, and the classes' cuts."""
 
-    A sequence of n + 1 ids has n targets; place i predicts the id at i + 1.
-    """
-    lens = np.array([len(s) - 1 for s in seqs], np.int64)
-    stride = WINDOW - OVERLAP
-    per = 1 + np.maximum(0, -(-(lens - WINDOW) // stride))
-    row = np.repeat(np.arange(len(seqs)), per)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    first = np.cumsum(lens + 1) - lens - 1
-    inside = nth[:, None] * stride + np.arange(WINDOW)
-    live = inside < lens[row][:, None]
-    at = first[row][:, None] + np.minimum(inside, np.maximum(lens[row] - 1, 0)[:, None])
-    counted = live & ((nth[:, None] == 0) | (np.arange(WINDOW) >= OVERLAP))
-    return at, counted, row
+    def __init__(self, counts: np.ndarray):
+        n = counts.astype(np.float64) + 0.5
+        order = np.lexsort((np.arange(len(n)), -n))
+        self.rank = np.empty(len(n), np.int32)
+        self.rank[order] = np.arange(len(n))
+        self.n = n = n[order]
+        part = np.minimum((np.cumsum(n) - n / 2) / n.sum() * CLASSES, CLASSES - 1).astype(int)
+        cuts = [0]
+        for hi in np.flatnonzero(np.r_[np.diff(part) > 0, True]) + 1:
+            cuts += [*range(cuts[-1] + LARGEST, hi, LARGEST), hi]
+        self.cuts = np.array(cuts)
+        self.class_of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.int16)
+        self.pad = len(n)
 
 
-def pair_bucket(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return ((before.astype(np.uint64) * np.uint64(2654435761) + now.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 >> 1)) >> np.uint64(13)) % np.uint64(PAIRS)
-
-
-def fresh(seed: int = 5) -> dict[str, np.ndarray]:
-    """First weights: what the layers add to the statistics' logits is zero."""
+def fresh(layout: Layout, seed: int = 5) -> dict[str, np.ndarray]:
+    """First weights: the model starts near the unigram of the training counts."""
     r = np.random.RandomState(seed)
-    n = lambda *s, k=0.3: (r.randn(*s) * k).astype(np.float32)
+    n = lambda *s, k=0.2: (r.randn(*s) * k).astype(np.float32)
     z = lambda *s: np.zeros(s, np.float32)
+    size, per = layout.pad, np.add.reduceat(layout.n, layout.cuts[:-1])
     return {
-        "e": n(KEPT, DIM), "h": z(FEATURES, DIM), "q": n(DIM, DIM), "k": n(DIM, DIM), "v": n(DIM, DIM), "o": n(DIM, DIM, k=0.1), "r": z(WINDOW),
-        "w1": n(DIM, HIDDEN), "b1": z(HIDDEN), "w2": n(HIDDEN, DIM, k=0.1), "uc": z(DIM, CLASSES), "um": z(CLASSES, DIM, MEMBERS),
+        "e": n(size + 1, DIM, k=0.3), "p": n(size + 1, DIM, k=0.1), "u": n(size, DIM, k=0.05), "b": (np.log(layout.n) - np.log(per)[layout.class_of]).astype(np.float32),
+        "q": n(DIM, DIM), "kv": n(DIM, 2 * DIM), "r": z(HEADS, 2 * SPAN), "o": n(DIM, DIM, k=0.1), "w1": n(DIM, HIDDEN), "b1": z(HIDDEN), "w2": n(HIDDEN, DIM, k=0.1),
+        "uc": n(DIM, len(per), k=0.05), "bc": np.log(per / per.sum()).astype(np.float32),
     }
 
 
-_CAUSAL = np.tri(WINDOW, dtype=np.float32)
-_BACK = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
+TABLES = ("e", "p", "u", "b")  # a row a symbol
+_KEY, _QUERY = np.arange(2 * SPAN), SPAN + np.arange(SPAN)
+_FUTURE = _KEY[None, :] > _QUERY[:, None]
+_BACK = np.clip(_QUERY[:, None] - _KEY[None, :], 0, 2 * SPAN - 1)
+_NEVER = np.float32(-1e9)
+_SCALE = np.float32(HEAD_DIM**-0.5)
 
 
-def _weights(logits: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """start * exp(logits), with logits held to what single precision bears."""
-    np.minimum(logits, np.float32(40), out=logits)
-    np.exp(logits, out=logits)
-    logits *= start
-    return logits
+def _shares(x: np.ndarray) -> np.ndarray:
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
-def _shares(w: np.ndarray) -> np.ndarray:
-    w /= w.sum(-1, keepdims=True)
-    return w
+def _row_sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices and the sums of their rows."""
+    keys, which = np.unique(index, return_inverse=True)
+    cols = rows.T.astype(np.float64)
+    return keys, np.stack([np.bincount(which, c, len(keys)) for c in cols], 1).astype(np.float32)
 
 
 class Attention:
-    """The model over fixed statistics ``s`` (bi, bi_class, pair, pair_back) and weights ``p``."""
-
-    def __init__(self, s: dict[str, np.ndarray], p: dict[str, np.ndarray]):
-        self.s, self.p = s, p
-
-    def hidden(self, ids: np.ndarray, before: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        pair = pair_bucket(before, ids).astype(np.int64)
-        feature = pair % FEATURES
-        x = p["e"][ids] + p["h"][feature]
-        q, k, v = x @ (p["q"] * np.float32(DIM**-0.5)), x @ p["k"], x @ p["v"]
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a += p["r"][_BACK]
-        a = _shares(_weights(a, _CAUSAL))
-        o = a @ v
-        h = x + o @ p["o"]
-        f = h @ p["w1"] + p["b1"]
+    """The model: a layout and weights ``p``."""
+
+    def __init__(self, layout: Layout, p: dict[str, np.ndarray]):
+        self.cuts, self.class_of, self.pad, self.p = layout.cuts, layout.class_of, layout.pad, p
+
+    def hidden(self, w: np.ndarray) -> dict[str, np.ndarray]:
+        p, n = self.p, len(w)
+        ids, before = w[:, 1:-1], w[:, :-2]
+        x = p["e"][ids]
+        x += p["p"][before]
+        now = x[:, SPAN:].reshape(-1, DIM)
+        kv = (x.reshape(-1, DIM) @ p["kv"]).reshape(n, 2 * SPAN, 2, HEADS, HEAD_DIM)
+        q = np.ascontiguousarray((now @ (p["q"] * _SCALE)).reshape(n, SPAN, HEADS, HEAD_DIM).transpose(0, 2, 1, 3))
+        k = np.ascontiguousarray(kv[:, :, 0].transpose(0, 2, 3, 1))
+        v = np.ascontiguousarray(kv[:, :, 1].transpose(0, 2, 1, 3))
+        a = q @ k
+        a += np.where(_FUTURE, _NEVER, p["r"][:, _BACK])
+        a[ids[:, SPAN - 1] == self.pad, :, :, :SPAN] = _NEVER  # a text's first window
+        a = _shares(a)
+        o = (a @ v).transpose(0, 2, 1, 3).reshape(-1, DIM)
+        h = now + o @ p["o"]
+        f = h @ p["w1"]
+        f += p["b1"]
         np.maximum(f, 0, out=f)
-        return {"ids": ids, "pair": pair, "feature": feature, "x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "f": f, "z": h + f @ p["w2"]}
-
-    def classes(self, ids: np.ndarray, pair: np.ndarray, z: np.ndarray, leave: np.ndarray | None = None) -> np.ndarray:
-        """Unscaled class probabilities (n, CLASSES) of flat places.
-
-        In training, ``leave`` holds the targets' classes: their own count is taken out of the pair
-        statistics, so that the layer learns how far to trust them on unseen text.
-        """
-        start = np.take(self.s["bi_class"], ids, 0)
-        start *= self.s["pair_back"][pair][:, None]
-        start += np.take(self.s["pair"], pair, 0)
-        if leave is not None:
-            at = np.arange(len(leave))
-            start[at, leave] -= np.minimum(self.s["pair"][pair, leave], 1)
-        return _weights(z @ self.p["uc"], start)
-
-    def members(self, c: int, ids: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Unscaled probabilities of class c's members (n, MEMBERS)."""
-        return _weights(z @ self.p["um"][c], self.s["bi"][c][ids])
-
-    def log_probability(self, ids: np.ndarray, before: np.ndarray, target: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target (W, WINDOW), 0 where it doesn't count."""
-        s = self.hidden(ids, before)
-        at = np.flatnonzero(counted)
-        i, z, y = ids.ravel()[at], s["z"].reshape(-1, DIM)[at], target.ravel()[at]
-        c = y // MEMBERS
-        w = self.classes(i, s["pair"].ravel()[at], z)
-        p = w[np.arange(len(at)), c] / w.sum(1)
+        return {"ids": ids, "before": before, "x": x, "now": now, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "f": f, "z": h + f @ p["w2"]}
+
+    def _by_class(self, w: np.ndarray, z: np.ndarray) -> tuple:
+        """Counted places, and their vectors, targets and classes, in order of class; each class's run."""
+        y = w[:, SPAN + 2 :].ravel()
+        at = np.flatnonzero(y != self.pad)
+        c = self.class_of[y[at]]
         order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            if ends[k] < ends[k + 1]:
-                mine = order[ends[k] : ends[k + 1]]
-                w = self.members(k, i[mine], z[mine])
-                p[mine] *= w[np.arange(len(mine)), y[mine] % MEMBERS] / w.sum(1)
-        out = np.zeros(counted.size)
-        out[at] = np.log(np.maximum(p, 1e-30))
-        return out.reshape(counted.shape)
-
-    def gradients(self, ids: np.ndarray, before: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean negative log probability of the counted targets."""
-        p, s = self.p, self.hidden(ids, before)
-        at = np.flatnonzero(counted)
-        n = max(1, len(at))
-        i, z, y = ids.ravel()[at], s["z"].reshape(-1, DIM)[at], target.ravel()[at]
-        c = y // MEMBERS
-        g = {k: np.zeros_like(v) for k, v in p.items() if k == "um"}
-        dc = _shares(self.classes(i, s["pair"].ravel()[at], z, c))
-        dc[np.arange(len(at)), c] -= 1
-        g["uc"] = z.T @ dc / n
-        dz = dc @ p["uc"].T
-        for k in np.unique(c):
-            mine = np.flatnonzero(c == k)
-            dm = _shares(self.members(k, i[mine], z[mine]))
-            dm[np.arange(len(mine)), y[mine] % MEMBERS] -= 1
-            g["um"][k] = z[mine].T @ dm / n
-            dz[mine] += dm @ p["um"][k].T
-        full = np.zeros((ids.size, DIM), np.float32)
-        full[at] = dz / n
-        dz = full.reshape(*ids.shape, DIM)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g["w2"] = flat(s["f"]).T @ flat(dz)
-        df = (dz @ p["w2"].T) * (s["f"] > 0)
-        g["w1"], g["b1"] = flat(s["h"]).T @ flat(df), flat(df).sum(0)
-        dh = dz + df @ p["w1"].T
-        g["o"] = flat(s["o"]).T @ flat(dh)
-        do = dh @ p["o"].T
-        dv = s["a"].transpose(0, 2, 1) @ do
-        da = do @ s["v"].transpose(0, 2, 1)
-        da = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True))
-        g["r"] = np.bincount(_BACK.ravel(), da.sum(0).ravel(), WINDOW).astype(np.float32)
-        dq, dk = da @ s["k"] * np.float32(DIM**-0.5), da.transpose(0, 2, 1) @ s["q"]
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(s["x"]).T @ flat(d)
-        dx = flat(dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
-        for name, index, rows in (("e", ids.ravel(), KEPT), ("h", s["feature"].ravel(), FEATURES)):
-            order = np.argsort(index, kind="stable")
-            keys, starts = np.unique(index[order], return_index=True)
-            g[name] = np.zeros((rows, DIM), np.float32)
-            g[name][keys] = np.add.reduceat(dx[order], starts)
-        return g
-
-
-class Adam:
-    def __init__(self, p: dict[str, np.ndarray]):
+        at, c = at[order], c[order]
+        ends = np.searchsorted(c, np.arange(len(self.cuts)))
+        runs = [(i, j, lo, hi) for i, j, lo, hi in zip(ends, ends[1:], self.cuts, self.cuts[1:]) if i < j and hi - lo > 1]
+        return at, z[at], y[at], c, runs
+
+    def log_probability(self, w: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target (n, SPAN), 0 where there is none."""
+        at, z, y, c, runs = self._by_class(w, self.hidden(w)["z"])
+        t = z @ self.p["uc"]
+        t += self.p["bc"]
+        found = t[np.arange(len(at)), c].astype(np.float64)
+        found -= np.log(np.exp(t, out=t).sum(1))
+        for i, j, lo, hi in runs:
+            t = z[i:j] @ self.p["u"][lo:hi].T
+            t += self.p["b"][lo:hi]
+            found[i:j] += t[np.arange(j - i), y[i:j] - lo]
+            found[i:j] -= np.log(np.exp(t, out=t).sum(1))
+        out = np.zeros(len(w) * SPAN)
+        out[at] = found
+        return out.reshape(len(w), SPAN)
+
+    def gradients(self, w: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple]]:
+        """Gradients of the mean negative log probability: of the small weights, and (table, rows, gradient) of the tables."""
+        p, s = self.p, self.hidden(w)
+        at, z, y, c, runs = self._by_class(w, s["z"])
+        n, g, rows = np.float32(1 / max(1, len(at))), {}, []
+        d = z @ p["uc"]
+        d += p["bc"]
+        d = _shares(d)
+        d[np.arange(len(at)), c] -= 1
+        d *= n
+        g["uc"], g["bc"] = z.T @ d, d.sum(0)
+        dz = d @ p["uc"].T
+        for i, j, lo, hi in runs:
+            u = p["u"][lo:hi]
+            d = z[i:j] @ u.T
+            d += p["b"][lo:hi]
+            d = _shares(d)
+            d[np.arange(j - i), y[i:j] - lo] -= 1
+            d *= n
+            rows += [("u", slice(lo, hi), d.T @ z[i:j]), ("b", slice(lo, hi), d.sum(0))]
+            dz[i:j] += d @ u
+        full = np.zeros((len(w) * SPAN, DIM), np.float32)
+        full[at] = dz
+        g["w2"] = s["f"].T @ full
+        df = full @ p["w2"].T
+        df *= s["f"] > 0
+        g["w1"], g["b1"] = s["h"].T @ df, df.sum(0)
+        dh = full + df @ p["w1"].T
+        g["o"] = s["o"].T @ dh
+        do = np.ascontiguousarray((dh @ p["o"].T).reshape(len(w), SPAN, HEADS, HEAD_DIM).transpose(0, 2, 1, 3))
+        a = s["a"]
+        dv = a.transpose(0, 1, 3, 2) @ do
+        da = do @ s["v"].transpose(0, 1, 3, 2)
+        da -= (da * a).sum(-1, keepdims=True)
+        da *= a
+        per = da.sum(0)
+        g["r"] = np.stack([np.bincount(_BACK[~_FUTURE], x[~_FUTURE], 2 * SPAN) for x in per]).astype(np.float32)
+        dq = (da @ s["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, DIM) * _SCALE
+        dkv = np.empty((len(w), 2 * SPAN, 2, HEADS, HEAD_DIM), np.float32)
+        dkv[:, :, 0] = (da.transpose(0, 1, 3, 2) @ s["q"]).transpose(0, 2, 1, 3)
+        dkv[:, :, 1] = dv.transpose(0, 2, 1, 3)
+        dkv = dkv.reshape(-1, 2 * DIM)
+        g["kv"], g["q"] = s["x"].reshape(-1, DIM).T @ dkv, s["now"].T @ dq
+        dx = (dkv @ p["kv"].T).reshape(len(w), 2 * SPAN, DIM)
+        dx[:, SPAN:] += (dh + dq @ p["q"].T).reshape(len(w), SPAN, DIM)
+        dx = dx.reshape(-1, DIM)
+        rows += [("e", *_row_sums(s["ids"].ravel(), dx)), ("p", *_row_sums(s["before"].ravel(), dx))]
+        return g, rows
+
+
+class Steps:
+    """Adam for the small weights, Adagrad for the rows of tables that a batch touches; ``v`` holds the squares."""
+
+    def __init__(self, p: dict[str, np.ndarray], v: dict[str, np.ndarray] | None = None):
         self.p, self.t = p, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.m = {k: np.zeros_like(x) for k, x in p.items() if k not in TABLES}
+        self.v = v or {k: np.zeros_like(x) for k, x in p.items()}
+        self.warm = v is not None
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def take(self, g: dict[str, np.ndarray], rows: list[tuple], rate: float) -> None:
         self.t += 1
-        rate = np.float32(STEP * (1 - 0.98**self.t) ** 0.5 / (1 - 0.9**self.t))
+        r = np.float32(rate * STEP / (1 - 0.9**self.t) * (1.0 if self.warm else (1 - 0.98**self.t) ** 0.5))
         for k, d in g.items():
             m, v = self.m[k], self.v[k]
             m += np.float32(0.1) * (d - m)
             v += np.float32(0.02) * (d * d - v)
-            self.p[k] -= rate * m / (np.sqrt(v) + np.float32(1e-6))
+            self.p[k] -= r * m / (np.sqrt(v) + np.float32(1e-6))
+        r = np.float32(rate * TABLE_STEP)
+        for k, at, d in rows:
+            v = self.v[k][at] + d * d
+            self.v[k][at] = v
+            self.p[k][at] -= r * d / (np.sqrt(v) + np.float32(1e-8))
+
+
+class Trainer:
+    """Takes windows, mixes them in a pool and steps; batches grow with the steps taken."""
+
+    def __init__(self, layout: Layout, p: dict, v: dict | None, done: int, expected: int):
+        self.model, self.steps = Attention(layout, p), Steps(p, v)
+        self.done, self.expected, self.seen, self.n = done, max(1, expected), 0, 0
+        self.pool, self.waiting = [], 0
+
+    def add(self, w: np.ndarray) -> None:
+        self.pool.append(w)
+        self.waiting += len(w)
+        if self.waiting >= POOL:
+            self.learn()
+
+    def learn(self) -> None:
+        """Step over all windows that wait."""
+        if not self.waiting:
+            return
+        w = np.concatenate(self.pool)
+        w, at = w[np.random.RandomState(self.n).permutation(len(w))], 0
+        while at < len(w):
+            size = min(LARGEST_BATCH, BATCH << min(8, (self.done + self.n) // BATCH_STEPS))
+            rate = min(1.0, (self.done + self.n + 1) / 20) * max(0.1, 1 - 0.9 * (self.seen + at) / self.expected)
+            self.steps.take(*self.model.gradients(w[at : at + size]), rate)
+            at, self.n = at + size, self.n + 1
+        self.seen += len(w)
+        self.pool, self.waiting = [], 0
 
 
 # --------------------------------------------------------------------------- passes
@@ -303,149 +344,109 @@ def _unigrams(width: int):
         def rows():
             for b in batches:
                 n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), f"<u{width}"))
-                yield np.flatnonzero(n), n[n > 0]
-
-        yield from _summed(rows())
-
-    return run
-
-
-def _sequences(blobs: list[bytes], lut: np.ndarray, width: int) -> list[np.ndarray]:
-    end = np.array([START])
-    return [np.concatenate([end, lut[np.frombuffer(x, f"<u{width}")], end]) for x in blobs]
-
-
-def _statistics(folder: str, lut_name: str, width: int):
-    """Counts of id pairs (k = now * KEPT + next) and, after them, of classes after pair buckets (k = KEPT^2 + bucket * CLASSES + class)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lut = _load(folder, lut_name)["lut"]
-
-        def rows():
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    seqs = _sequences(whole.column("ids").slice(at, 1000).to_pylist(), lut, width)
-                    x = np.concatenate(seqs)
-                    lens = np.array([len(s) for s in seqs])
-                    last, first = np.cumsum(lens) - 1, np.cumsum(lens) - lens
-                    now = np.setdiff1d(np.arange(len(x)), last, assume_unique=True)
-                    before = x[np.maximum(now - 1, 0)].copy()
-                    before[np.isin(now, first, assume_unique=True)] = START
-                    nxt = x[now + 1]
-                    yield np.unique(np.concatenate([x[now] * KEPT + nxt, KEPT * KEPT + pair_bucket(before, x[now]).astype(np.int64) * CLASSES + nxt // MEMBERS]), return_counts=True)
+                yield np.r_[np.flatnonzero(n), -1], np.r_[n[n > 0], b.num_rows]  # -1: ends
 
         yield from _summed(rows())
 
     return run
 
 
-def _dense(table: pa.Table) -> pa.Table:
-    """The counts of one part of a table as dense rows: every PARTS-th row of it."""
-    k, n, part = (table.column(c).to_numpy() for c in ("k", "n", "part"))
-    rows, width, k = (KEPT, KEPT, k) if part[0] < PARTS else (PAIRS, CLASSES, k - KEPT * KEPT)
-    out = np.zeros((rows // PARTS, width), np.float32)
-    out[k // width // PARTS, k % width] = n
-    return pa.table({"part": pa.array(part[:1]), "rows": pa.array([out.tobytes()], pa.binary())})
-
-
-def _batches(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """ids, ids before, targets, counted, row of all windows of the sequences."""
-    x = np.concatenate(seqs)
-    at, counted, row = windows(seqs)
-    first = np.cumsum([len(s) for s in seqs]) - [len(s) for s in seqs]
-    before = x[np.maximum(at - 1, 0)]
-    before[at == first[row][:, None]] = START
-    return x[at], before, x[at + 1], counted, row
+def _sequences(blobs: list[bytes], rank: np.ndarray, width: int) -> list[np.ndarray]:
+    end = rank[-1:]
+    return [np.concatenate([end, rank[np.frombuffer(x, f"<u{width}")], end]) for x in blobs]
 
 
 def rounds_of(doc_ids: list[int | None], blobs: list[bytes], row: np.ndarray) -> np.ndarray:
     """The round that trains on each window; ``row`` has the window's document, ascending. Every window has one."""
     key = np.array([zlib.crc32(x, zlib.crc32(str(i).encode())) for i, x in zip(doc_ids, blobs)], np.uint64)
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    return (pair_bucket(key[row], nth) % np.uint64(ROUNDS)).astype(np.int64)
+    nth = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.uint64)
+    ticket = mix64((key[row] << np.uint64(32)) + nth) % np.uint64(sum(SHARES))
+    return np.searchsorted(np.cumsum(SHARES), ticket, "right")
 
 
-def _train(folder: str, stats_name: str, lut_name: str, weights_name: str, width: int, turn: int):
-    """Train on this task's windows of the turn; gives the weights, weighted by the steps taken."""
+_WEIGHTS = "trainer int, name string, block int, steps double, w binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lut, stats = _load(folder, lut_name)["lut"], _load(folder, stats_name)
-        p = {k: v.copy() for k, v in _load(folder, weights_name).items()}
-        model, adam, pool, waiting, steps = Attention(stats, p), Adam(p), [], 0, 0
-
-        def learn(everything: bool) -> None:
-            nonlocal pool, waiting, steps
-            parts = [np.concatenate(c) for c in zip(*pool)]
-            order = np.random.RandomState(steps + turn).permutation(len(parts[0]))
-            upto = len(order) if everything else len(order) // BATCH * BATCH
-            for i in range(0, upto, BATCH):
-                adam.step(model.gradients(*(c[order[i : i + BATCH]] for c in parts)))
-                steps += 1
-            pool = [[c[order[upto:]] for c in parts]] if upto < len(order) else []
-            waiting = len(order) - upto
 
+def _train(folder: str, layout_name: str, weights_name: str, width: int, turn: int, done: int, expected: int):
+    """Train on this task's windows of the turn; gives the blocks of weights and squares that changed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = Layout(_load(folder, layout_name)["counts"])
+        start = _load(folder, weights_name)
+        copy = {k: x.copy() for k, x in start.items()}
+        p, v = {k: x for k, x in copy.items() if not k.startswith("v.")}, {k[2:]: x for k, x in copy.items() if k.startswith("v.")}
+        t = Trainer(layout, p, v or None, done, expected)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 blobs = b.column("ids").to_pylist()
-                ids, before, target, counted, row = _batches(_sequences(blobs, lut, width))
-                pick = rounds_of(b.column("doc_id").to_pylist(), blobs, row) == turn
-                if pick.any():
-                    pool.append([c[pick] for c in (ids, before, target, counted)])
-                    waiting += int(pick.sum())
-                if waiting >= 40 * BATCH:
-                    learn(False)
-        if waiting:
-            learn(True)
-        if steps:
-            names = sorted(p)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([p[k].tobytes() for k in names], pa.binary()), pa.array([float(steps)] * len(names))], names=["name", "w", "steps"])
+                w, row = windows(_sequences(blobs, layout.rank, width), layout.pad)
+                t.add(w[rounds_of(b.column("doc_id").to_pylist(), blobs, row) == turn])
+        t.learn()
+        if t.n:
+            trainer = TaskContext.get().partitionId()
+            for name, x in [*t.steps.p.items(), *((f"v.{k}", x) for k, x in t.steps.v.items())]:
+                for block in range(0, len(x), ROW_BLOCK):
+                    new = x[block : block + ROW_BLOCK]
+                    if name not in start or not np.array_equal(new, start[name][block : block + ROW_BLOCK]):
+                        yield pa.RecordBatch.from_arrays([pa.array([trainer], pa.int32()), pa.array([name]), pa.array([block], pa.int32()), pa.array([float(t.n)]), pa.array([new.tobytes()], pa.binary())], names=["trainer", "name", "block", "steps", "w"])
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
-    """Mean of one weight over the trainers."""
-    total, sum_ = 0.0, None
-    for w, n in zip(table.column("w"), table.column("steps")):
-        x = np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * n.as_py()
-        total, sum_ = total + n.as_py(), x if sum_ is None else sum_ + x
-    return pa.table({"name": table.column("name").slice(0, 1), "w": pa.array([(sum_ / total).astype(np.float32).tobytes()], pa.binary())})
-
-
-def _score(folder: str, stats_name: str, lut_name: str, weights_name: str, width: int):
+    """Mean of one block over at most FAN trainers or groups of them, weighted by steps."""
+    total, sum_ = 0.0, 0.0
+    for w, n in zip(table.column("w"), table.column("steps").to_pylist()):
+        total, sum_ = total + n, sum_ + np.frombuffer(w.as_buffer(), np.float32).astype(np.float64) * n
+    return table.slice(0, 1).set_column(3, "steps", pa.array([total])).set_column(4, "w", pa.array([(sum_ / total).astype(np.float32).tobytes()], pa.binary()))
+
+
+def averaged(blocks: DataFrame, trainers: int) -> DataFrame:
+    """One row for each (name, block). Groups hold at most FAN rows, however many trainers there are."""
+    blocks = materialize(blocks, "lm-trained")
+    while True:
+        groups = -(-trainers // FAN)
+        blocks = blocks.withColumn("trainer", F.expr(f"trainer div {FAN}").cast("int")).select("trainer", "name", "block", "steps", "w")
+        blocks = materialize(blocks.groupBy("trainer", "name", "block").applyInArrow(_average, _WEIGHTS), "lm-averaged")
+        if groups <= 1:
+            return blocks
+        trainers = groups
+
+
+def _score(folder: str, layout_name: str, weights_name: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _load(folder, lut_name)
-        lut, rare = tables["lut"], tables["rare"]
-        model = Attention(_load(folder, stats_name), _load(folder, weights_name))
+        layout = Layout(_load(folder, layout_name)["counts"])
+        model = Attention(layout, _load(folder, weights_name))
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500)
-                blobs = b.column("ids").to_pylist()
-                ids, before, target, counted, row = _batches(_sequences(blobs, lut, width))
+            for start in range(0, whole.num_rows, 250):
+                b = whole.slice(start, 250)
+                w, row = windows(_sequences(b.column("ids").to_pylist(), layout.rank, width), layout.pad)
                 score = np.zeros(b.num_rows)
-                for i in range(0, len(ids), 384):
-                    j = slice(i, i + 384)
-                    got = model.log_probability(ids[j], before[j], target[j], counted[j]).sum(1)
-                    score += np.bincount(row[j], got, b.num_rows)
-                raw = [np.frombuffer(x, f"<u{width}") for x in blobs]
-                score += [rare[x[lut[x] == RARE]].sum() for x in raw]
+                for i in range(0, len(w), 256):
+                    score += np.bincount(row[i : i + 256], model.log_probability(w[i : i + 256]).sum(1), b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(score / np.log(10.0))], names=["rid", "score"])
 
     return run
 
 
+def _words(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end of each text, and their number in each text."""
+    h, n = hashed_words(column)
+    return np.insert(h, np.cumsum(n), END_WORD), n + 1
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                train = [word_ids(utf8(t)) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")) if not held_out(i)]
-                if train:
-                    yield np.unique(np.concatenate(train), return_counts=True)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                train = pa.array([not held_out(i) for i in b.column("doc_id").to_pylist()], pa.bool_())
+                h, _ = _words(b.column("text").filter(train))
+                if len(h):
+                    yield np.unique(h, return_counts=True)
 
-    for b in _summed(rows()):
-        yield b
+    yield from _summed(rows())
 
 
 _CODED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, total double, tail array<long>, ids binary"
@@ -464,21 +465,17 @@ def _encode(path: str, folder: str, head_name: str):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                words = [word_ids(utf8(t)) for t in b.column("text")]
-                lens = np.array([len(w) for w in words])
-                row = np.repeat(np.arange(len(words)), lens)
-                distinct, which = np.unique(np.concatenate(words), return_inverse=True)
-                place = np.minimum(np.searchsorted(k, distinct), max(len(k) - 1, 0))
-                hit = k[place] == distinct if len(k) else np.zeros(len(distinct), bool)
-                value = np.where(hit, v[place] if len(k) else 0.0, 0.0)
-                known = np.bincount(row, hit[which], len(words)).astype(np.int64)
-                total = np.bincount(row, value[which], len(words))
-                rest = ~hit[which]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[rest], minlength=len(words)))])
-                tail = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(distinct[which[rest]].view(np.int64)))
-                rid = pa.array([(part << 36) + n + j for j in range(len(words))], pa.int64())
-                n += len(words)
-                yield pa.RecordBatch.from_arrays([rid, b.column("doc_id"), pa.array([held_out(i) for i in b.column("doc_id").to_pylist()]), pa.array(lens), pa.array(known), pa.array(total), tail, pa.array([enc.encode(t.as_py()) for t in b.column("text")], pa.binary())], names=[c.split()[0] for c in _CODED.split(", ")])
+                words, lens = _words(b.column("text"))
+                row = np.repeat(np.arange(len(lens)), lens)
+                place = np.minimum(np.searchsorted(k, words), max(len(k) - 1, 0))
+                hit = k[place] == words if len(k) else np.zeros(len(words), bool)
+                known = np.bincount(row, hit, len(lens)).astype(np.int64)
+                total = np.bincount(row[hit], v[place[hit]], len(lens)) if len(k) else np.zeros(len(lens))
+                offsets = np.concatenate([[0], np.cumsum(lens - known)])
+                tail = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words[~hit].view(np.int64)))
+                rid = pa.array((part << 36) + n + np.arange(len(lens)))
+                n += len(lens)
+                yield pa.RecordBatch.from_arrays([rid, b.column("doc_id"), pa.array([held_out(i) for i in b.column("doc_id").to_pylist()]), pa.array(lens), pa.array(known), pa.array(total), tail, pa.array(enc.encode_all(b.column("text").to_pylist()), pa.binary())], names=[c.split()[0] for c in _CODED.split(", ")])
 
     return run
 
@@ -507,7 +504,8 @@ def encoded(texts: DataFrame, folder: str, tokenizer_path: str) -> tuple[DataFra
         order = np.argsort(k)
         yield pa.RecordBatch.from_arrays([pa.array([_save(folder, {"k": k[order], "v": np.log10(n[order] + 0.5) - below})])], names=["file"])
 
-    head = counts.filter(F.col("n") >= least).coalesce(1).mapInArrow(write, "file string").first()["file"]
+    # Only the head's rows, HEAD at most, go to one task.
+    head = counts.filter(F.col("n") >= least).repartition(1).mapInArrow(write, "file string").first()["file"]
     per = materialize(texts.mapInArrow(_encode(tokenizer_path, folder, head), _CODED), "lm-texts")
     tail = per.select("rid", F.explode("tail").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("m"))
     joined = tail.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(float(below)))).alias("rest"))
@@ -515,43 +513,37 @@ def encoded(texts: DataFrame, folder: str, tokenizer_path: str) -> tuple[DataFra
     return per, per.join(joined, "rid", "left").select("rid", "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("total") + zero("rest")).alias("base_score"))
 
 
-def train(coded: DataFrame, folder: str, width: int, vocabulary: int) -> tuple[str, str, str]:
-    """Names of the saved id tables, statistics and weights; what the driver holds has a fixed size."""
+def train(coded: DataFrame, folder: str, width: int, vocabulary: int) -> tuple[str, str]:
+    """Names of the saved counts and weights; what the driver holds is bounded by the vocabulary."""
     texts = coded.filter(~F.col("held_out"))
     uni = texts.mapInArrow(_unigrams(width), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # vocabulary rows
-    uni = uni.sort_values(["n", "k"], ascending=[False, True])
-    own, other = uni.iloc[: KEPT - 2], uni.iloc[KEPT - 2 :]
-    lut = np.full(vocabulary, RARE, np.int64)
-    lut[own["k"]] = np.arange(1, len(own) + 1)
-    n = np.zeros(vocabulary)
-    n[other["k"]] = other["n"]
-    rare = np.log((n + 0.5) / (n.sum() + 0.5 * (vocabulary - len(own))))
-    lut_name = _save(folder, {"lut": lut, "rare": rare})
-    sums = texts.mapInArrow(_statistics(folder, lut_name, width), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    sums = sums.withColumn("part", F.when(F.col("k") < KEPT * KEPT, F.expr(f"(k div {KEPT}) % {PARTS}")).otherwise(F.lit(PARTS) + F.expr(f"((k - {KEPT * KEPT}) div {CLASSES}) % {PARTS}")).cast("int"))
-    bi, pair = np.zeros((KEPT, KEPT), np.float32), np.zeros((PAIRS, CLASSES), np.float32)
-    for r in sums.groupBy("part").applyInArrow(_dense, "part int, rows binary").toLocalIterator():  # 2 * PARTS rows of fixed size
-        table = bi if r["part"] < PARTS else pair
-        table[r["part"] % PARTS :: PARTS] = np.frombuffer(r["rows"], np.float32).reshape(-1, table.shape[1])
-    one = bi.sum(0) + 0.05
-    one /= one.sum()
-    total, kinds = bi.sum(1, keepdims=True), (bi > 0).sum(1, keepdims=True)
-    back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0).astype(np.float32)
-    np.maximum(bi - DISCOUNT, 0, out=bi)
-    bi /= np.maximum(total, 1)
-    bi += back * one
-    by_class = bi.reshape(KEPT, CLASSES, MEMBERS).sum(2)
-    bi = np.ascontiguousarray(bi.reshape(KEPT, CLASSES, MEMBERS).transpose(1, 0, 2))  # by class
-    pair_back = (DISCOUNT * (pair > 0).sum(1) + PAIR_PRIOR).astype(np.float32)
-    np.maximum(pair - DISCOUNT, 0, out=pair)
-    stats_name = _save(folder, {"bi": bi, "bi_class": by_class, "pair": pair, "pair_back": pair_back})
-    p, shapes = fresh(), {k: v.shape for k, v in fresh().items()}
-    weights = _save(folder, p)
-    for turn in range(ROUNDS):
-        done = texts.mapInArrow(_train(folder, stats_name, lut_name, weights, width, turn), "name string, w binary, steps double")
-        got = {r["name"]: np.frombuffer(r["w"], np.float32).reshape(shapes[r["name"]]) for r in done.groupBy("name").applyInArrow(_average, "name string, w binary").collect()}
-        weights = _save(folder, p | got)
-    return lut_name, stats_name, weights
+    counts = np.zeros(vocabulary + 1)
+    counts[uni["k"]] = uni["n"]  # -1, the ends, comes last
+    layout_name, layout = _save(folder, {"counts": counts}), Layout(counts)
+    weights = fresh(layout)
+    if not counts.sum():
+        return layout_name, _save(folder, weights)
+    # No more trainers than the written table has partitions; several of those make one trainer without a shuffle.
+    parts = texts.rdd.getNumPartitions()
+    trainers = max(1, min(parts, round(float(counts.sum()) / TRAINER_IDS)))
+    texts, done = texts.coalesce(trainers), 0
+    for turn, share in enumerate(SHARES):
+        expected = int(counts.sum() / SPAN / trainers * share / sum(SHARES))
+        job = _train(folder, layout_name, _save(folder, weights), width, turn, done, expected)
+        got, steps = {}, 0
+        for r in averaged(texts.mapInArrow(job, _WEIGHTS), trainers).collect():  # the tables' blocks, once
+            got.setdefault(r["name"], {})[r["block"]] = np.frombuffer(r["w"], np.float32)
+            steps = max(steps, int(r["steps"] / trainers))
+        for name, blocks in got.items():
+            like = weights[name.removeprefix("v.")]
+            new = weights[name].copy() if name in weights else np.zeros_like(like)
+            for block, x in blocks.items():
+                new[block : block + ROW_BLOCK] = x.reshape(-1, *like.shape[1:])
+            weights[name] = new
+        for name in [k for k in weights if not k.startswith("v.")]:
+            weights.setdefault(f"v.{name}", np.zeros_like(weights[name]))
+        done += steps
+    return layout_name, _save(folder, {k: x for k, x in weights.items() if not k.startswith("v.")})
 
 
 def lm_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -564,5 +556,5 @@ def lm_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     folder = shared_dir(docs.sparkSession, "lm")
     coded, base = encoded(texts, folder, tokenizer_path)
     names = train(coded.select("doc_id", "held_out", "ids"), folder, width, vocabulary)
-    scored = coded.select("rid", "ids").mapInArrow(_score(folder, names[1], names[0], names[2], width), "rid long, score double")
+    scored = coded.select("rid", "ids").mapInArrow(_score(folder, *names, width), "rid long, score double")
     return base.join(scored, "rid").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

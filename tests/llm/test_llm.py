@@ -178,73 +178,126 @@ def test_lm_base_and_order(spark, docs, none):
     assert lm_score.lm_scores(none, VOCABULARY).count() == 0
 
 
-def _small_model():
+def _small_model(size=60, kind=np.float64):
+    """A model over few symbols, with several classes, and weights that differ from the first ones everywhere."""
     r = np.random.RandomState(3)
-    bi = r.rand(lm_score.CLASSES, lm_score.KEPT, lm_score.MEMBERS).astype(np.float32)
-    bi /= bi.sum((0, 2))[None, :, None]
-    s = {"bi": bi, "bi_class": bi.sum(2).T.copy(), "pair": np.zeros((lm_score.PAIRS, lm_score.CLASSES), np.float32), "pair_back": np.ones(lm_score.PAIRS, np.float32)}
-    p = {k: v + r.randn(*v.shape).astype(np.float32) * 0.2 for k, v in lm_score.fresh().items()}
-    return s, p
+    layout = lm_score.Layout(np.r_[(r.rand(size) ** 8 * 1000).round(), 40])
+    p = {k: (v + r.randn(*v.shape) * 0.2).astype(kind) for k, v in lm_score.fresh(layout).items()}
+    return layout, p
+
+
+def _texts(layout, lengths, seed=1):
+    r, end = np.random.RandomState(seed), layout.rank[-1]
+    return [np.concatenate([[end], r.randint(0, layout.pad, n), [end]]).astype(np.int32) for n in lengths]
+
+
+def plain_log_probability(layout, p, seq):
+    """Sum over a text, place by place: keys from the window's start, then class and member."""
+    total, d = 0.0, lm_score.HEAD_DIM
+    x = [p["e"][i] + p["p"][j] for i, j in zip(seq, [layout.pad, *seq])]
+    for i in range(len(seq) - 1):
+        first = max(0, (i // lm_score.SPAN - 1) * lm_score.SPAN)
+        o = []
+        for h in range(lm_score.HEADS):
+            q = (x[i] @ p["q"])[h * d : h * d + d] / d**0.5
+            w = np.exp([q @ (x[j] @ p["kv"])[h * d : h * d + d] + p["r"][h][i - j] for j in range(first, i + 1)])
+            o.append(sum(a * (x[j] @ p["kv"])[lm_score.DIM + h * d :][:d] for a, j in zip(w / w.sum(), range(first, i + 1))))
+        h = x[i] + np.concatenate(o) @ p["o"]
+        z = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        y = seq[i + 1]
+        c = np.exp(z @ p["uc"] + p["bc"])
+        k = layout.class_of[y]
+        lo, hi = layout.cuts[k], layout.cuts[k + 1]
+        m = np.exp(p["u"][lo:hi] @ z + p["b"][lo:hi])
+        total += np.log(c[k] / c.sum() * m[y - lo] / m.sum())
+    return total
+
+
+def test_score_equals_the_plain_version():
+    layout, p = _small_model()
+    assert len(layout.cuts) > 4 and max(np.diff(layout.cuts)) > 1
+    seqs = _texts(layout, (0, 1, 15, 16, 17, 31, 33, 70))
+    w, row = lm_score.windows(seqs, layout.pad)
+    got = np.bincount(row, lm_score.Attention(layout, p).log_probability(w).sum(1), len(seqs))
+    assert np.allclose(got, [plain_log_probability(layout, p, s) for s in seqs], rtol=1e-6)
 
 
 def test_model_is_a_distribution_and_causal():
-    s, p = _small_model()
-    m = lm_score.Attention(s, p)
-    ids, before = np.random.RandomState(1).randint(0, lm_score.KEPT, (2, 1, lm_score.WINDOW))
-    every = np.repeat(ids, lm_score.KEPT, 0), np.repeat(before, lm_score.KEPT, 0)
-    target = np.zeros_like(every[0])
-    target[:, 5] = np.arange(lm_score.KEPT)
-    counted = np.zeros(target.shape, bool)
-    counted[:, 5] = True
-    lp = m.log_probability(*every, target, counted)[:, 5]
-    assert abs(np.exp(lp).sum() - 1) < 1e-4
-    later = ids.copy()
-    later[:, 6:] = 7
-    one = np.zeros_like(ids)
-    assert np.allclose(m.log_probability(ids, before, one, counted[:1]), m.log_probability(later, before, one, counted[:1]))
+    layout, p = _small_model()
+    m = lm_score.Attention(layout, p)
+    every = [np.r_[s[:20], y, s[21:]] for s in _texts(layout, (40,)) for y in range(layout.pad)]
+    lp = [m.log_probability(lm_score.windows([s], layout.pad)[0]) for s in every]
+    assert abs(sum(np.exp(x.ravel()[19]) for x in lp) - 1) < 1e-6
+    assert all(np.allclose(x.ravel()[:19], lp[0].ravel()[:19]) for x in lp)
+
+
+def test_classes_are_bounded_runs():
+    layout = lm_score.Layout(np.r_[1e6, 1e5, np.ones(10_000), 5])
+    assert np.diff(layout.cuts).max() <= lm_score.LARGEST and layout.cuts[-1] == 10_003 and sorted(layout.rank) == list(range(10_003))
 
 
 def test_gradients_match_differences():
-    s, p = _small_model()
-    p = {k: v.astype(np.float64) for k, v in p.items()}
-    m, r = lm_score.Attention(s, p), np.random.RandomState(2)
-    ids, before, target = r.randint(0, lm_score.KEPT, (3, 2, lm_score.WINDOW))
-    counted = r.rand(*ids.shape) < 0.7
-    g = m.gradients(ids, before, target, counted)
-    loss = lambda: -m.log_probability(ids, before, target, counted).sum() / counted.sum()
+    layout, p = _small_model()
+    m = lm_score.Attention(layout, p)
+    w, _ = lm_score.windows(_texts(layout, (40, 3)), layout.pad)
+    g, rows = m.gradients(w)
+    for k in lm_score.TABLES:
+        g[k] = np.zeros_like(p[k])
+    for k, at, d in rows:
+        g[k][at] += d
+    n = (w[:, lm_score.SPAN + 2 :] != layout.pad).sum()
     for name in p:
         flat, at = p[name].reshape(-1), int(np.abs(g[name]).argmax())
-        old = flat[at]
-        flat[at] = old + 1e-3
-        up = loss()
-        flat[at] = old - 1e-3
-        down = loss()
+        old, loss = flat[at], []
+        for step in (1e-5, -1e-5):
+            flat[at] = old + step
+            loss.append(-m.log_probability(w).sum() / n)
         flat[at] = old
-        assert abs((up - down) / 2e-3 - g[name].reshape(-1)[at]) < 2e-3 + 0.03 * abs(g[name].reshape(-1)[at]), name
+        want = (loss[0] - loss[1]) / 2e-5
+        assert abs(want) > 1e-4 and abs(want - g[name].reshape(-1)[at]) < 1e-3 * abs(want) + 1e-6, name
 
 
 def test_windows_count_each_target_once():
-    seqs = [np.arange(n + 1) for n in (1, 31, 32, 33, 100)]
-    at, counted, row = lm_score.windows(seqs)
-    assert sorted(at[counted].tolist()) == [i for s, o in zip(seqs, np.cumsum([0, 2, 32, 33, 34])) for i in range(o, o + len(s) - 1)]
+    layout, _ = _small_model()
+    seqs = _texts(layout, (0, 15, 16, 17, 100))
+    w, row = lm_score.windows(seqs, layout.pad)
+    for i, s in enumerate(seqs):
+        y = w[row == i][:, lm_score.SPAN + 2 :].ravel()
+        assert y[y != layout.pad].tolist() == s[1:].tolist()
 
 
 def test_training_takes_every_window_once(monkeypatch):
+    layout, p = _small_model(kind=np.float32)
     r = np.random.RandomState(4)
     blobs = [r.randint(0, 50, n).astype("<u2").tobytes() for n in (0, 5, 40, 300, 40, 700)]
     doc_ids = [1, None, 3, 4, 5, 6]
-    table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(blobs, pa.binary()), "rid": pa.array(range(6), pa.int64())})
-    lut = np.arange(1, 51)
+    w, row = lm_score.windows(lm_score._sequences(blobs, layout.rank, 2), layout.pad)
+    turns = lm_score.rounds_of(doc_ids, blobs, row)
+    again = lm_score.rounds_of(doc_ids[::-1], blobs[::-1], np.sort(5 - row))
+    assert sorted(turns) == sorted(again) and set(turns) <= set(range(len(lm_score.SHARES)))
     seen = Counter()
-    monkeypatch.setattr(lm_score, "_load", lambda folder, name: {"lut": {"lut": lut}, "stats": {}, "weights": {"b1": np.zeros(1, np.float32)}}[name])
-    monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, *batch: seen.update(x.tobytes() + y.tobytes() for x, y in zip(batch[0], batch[2])) or {})
-    want = Counter(x.tobytes() + y.tobytes() for ids, _, target, _, _ in [lm_score._batches(lm_score._sequences(blobs, lut, 2))] for x, y in zip(ids, target))
-    for parts in ([table], [table.slice(3), table.slice(0, 3)]):
-        seen.clear()
-        for turn in range(lm_score.ROUNDS):
-            for part in parts:
-                list(lm_score._train("", "stats", "lut", "weights", 2, turn)(iter(part.to_batches())))
-        assert seen == want
+    monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, w: seen.update(x.tobytes() for x in w) or ({}, []))
+    for turn in range(len(lm_score.SHARES)):
+        t = lm_score.Trainer(layout, p, None, 0, 10)
+        t.add(w[turns == turn])
+        t.learn()
+    assert seen == Counter(x.tobytes() for x in w)
+
+
+def test_weights_are_averaged_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN", 3)
+    r = np.random.RandomState(1)
+    rows = [(t, "e", 0, float(t + 1), bytearray(r.rand(4).astype(np.float32).tobytes())) for t in range(11)] + [(5, "q", 0, 2.0, bytearray(np.ones(2, np.float32).tobytes()))]
+    got = {x["name"]: np.frombuffer(x["w"], np.float32) for x in lm_score.averaged(spark.createDataFrame(rows, lm_score._WEIGHTS), 11).collect()}
+    e = [x for x in rows if x[1] == "e"]
+    assert np.allclose(got["e"], sum(x[3] * np.frombuffer(x[4], np.float32) for x in e) / sum(x[3] for x in e)) and got["q"].tolist() == [1, 1] and len(got) == 2
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm_score.lm_scores(df, VOCABULARY).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print("score and base per word:", r[0] / r[2], r[1] / r[2])
+    assert r[0] > r[1]
 
 
 # -- mixing
