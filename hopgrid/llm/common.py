@@ -45,6 +45,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: 0 white space, 2 ASCII signs, 1 all else (letters, digits, and every character beyond ASCII).
+_KIND = np.array([0 if s else 1 if b >= 128 or chr(b).isalnum() else 2 for b, s in enumerate(_SPACE)], np.uint8)
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 _LOWERED = _VALUES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 _BASE = 0x9E3779B97F4A7C15
@@ -74,22 +76,22 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return joined, at - at[0]
 
 
-def hashed_words(column, lower: bool = True, spans: bool = False):
+def hashed_words(column, lower: bool = True, spans: bool = False, signs: bool = False):
     """64-bit hashes of the words of a string column, row after row, and the number of words of each row.
 
     Words are runs of bytes other than space and \\t-\\r; with ``lower`` A-Z hash as a-z. A word's hash is a
     polynomial in its bytes modulo 2^64, taken from running sums over pieces cut between words, then
-    mixed: no word becomes a Python object. With ``spans``: also the joined bytes, and each word's first place and end there.
+    mixed: no word becomes a Python object. With ``signs`` a word ends where letters meet signs, too. With ``spans``: also the joined bytes, and each word's first place and end there.
     """
     data, rows = _bytes_of(column)
     value = _LOWERED if lower else _VALUES
     space = _SPACE[data]
     before = np.ones(len(data), bool)  # a word can begin here
-    before[1:] = space[:-1]
+    before[1:] = (np.diff(_KIND[data]) != 0) if signs else space[:-1]
     before[rows[:-1][rows[:-1] < len(data)]] = True
     first = np.flatnonzero(before & ~space)
     after = np.ones(len(data), bool)
-    after[:-1] = before[1:] | space[1:]
+    after[:-1] = before[1:] | space[1:]  # before[1:] holds where the next place begins a word or a row
     end = np.flatnonzero(after & ~space) + 1
     counts = np.diff(np.searchsorted(first, rows))
     out = np.empty(len(first), np.uint64)
