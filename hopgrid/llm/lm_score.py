@@ -10,8 +10,9 @@ SPAN ids of each are scored, so every id is scored once, with SPAN to 2 * SPAN -
 where the text has them.
 
 Training. One pass over every window of every training document. Trainers take about TRAINER_IDS ids
-each; a hash of doc_id, ids and the window's number deals the windows to rounds (SHARES of 16). In a
-round every trainer goes on from the common weights over its windows; then weights and step sizes
+each; a hash of doc_id and ids deals the documents to rounds (SHARES of 16). In a round every trainer
+goes on from the common weights over its windows; keys and values of the SPAN ids before those scored
+are constants to a window's gradient (they are scored, and learn, in the window before). Then weights and step sizes
 are averaged, weighted by steps, in groups of at most FAN trainers at a time. Only blocks of rows that
 a trainer has changed travel.
 
@@ -33,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, materialize, mix64, open_fs, shared_dir
+from .common import hashed_words, materialize, open_fs, shared_dir
 from .token_index import encoder
 
 SPAN, DIM, HEADS, HIDDEN = 16, 24, 2, 48
@@ -206,7 +207,7 @@ class Attention:
             d *= n
             rows += [("u", slice(lo, hi), d.T @ z[i:j]), ("b", slice(lo, hi), d.sum(0))]
             dz[i:j] += d @ u
-        full = np.zeros((len(w) * SPAN, DIM), np.float32)
+        full = np.zeros((len(w) * SPAN, DIM), z.dtype)
         full[at] = dz
         g["w2"] = s["f"].T @ full
         df = full @ p["w2"].T
@@ -216,22 +217,20 @@ class Attention:
         g["o"] = s["o"].T @ dh
         do = np.ascontiguousarray((dh @ p["o"].T).reshape(len(w), SPAN, HEADS, HEAD_DIM).transpose(0, 2, 1, 3))
         a = s["a"]
-        dv = a.transpose(0, 1, 3, 2) @ do
+        own = a[..., SPAN:].transpose(0, 1, 3, 2)
         da = do @ s["v"].transpose(0, 1, 3, 2)
         da -= (da * a).sum(-1, keepdims=True)
         da *= a
         per = da.sum(0)
         g["r"] = np.stack([np.bincount(_BACK[~_FUTURE], x[~_FUTURE], 2 * SPAN) for x in per]).astype(np.float32)
         dq = (da @ s["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, DIM) * _SCALE
-        dkv = np.empty((len(w), 2 * SPAN, 2, HEADS, HEAD_DIM), np.float32)
-        dkv[:, :, 0] = (da.transpose(0, 1, 3, 2) @ s["q"]).transpose(0, 2, 1, 3)
-        dkv[:, :, 1] = dv.transpose(0, 2, 1, 3)
+        dkv = np.empty((len(w), SPAN, 2, HEADS, HEAD_DIM), full.dtype)
+        dkv[:, :, 0] = (da[..., SPAN:].transpose(0, 1, 3, 2) @ s["q"]).transpose(0, 2, 1, 3)
+        dkv[:, :, 1] = (own @ do).transpose(0, 2, 1, 3)
         dkv = dkv.reshape(-1, 2 * DIM)
-        g["kv"], g["q"] = s["x"].reshape(-1, DIM).T @ dkv, s["now"].T @ dq
-        dx = (dkv @ p["kv"].T).reshape(len(w), 2 * SPAN, DIM)
-        dx[:, SPAN:] += (dh + dq @ p["q"].T).reshape(len(w), SPAN, DIM)
-        dx = dx.reshape(-1, DIM)
-        rows += [("e", *_row_sums(s["ids"].ravel(), dx)), ("p", *_row_sums(s["before"].ravel(), dx))]
+        g["kv"], g["q"] = s["now"].T @ dkv, s["now"].T @ dq
+        dx = dh + dq @ p["q"].T + dkv @ p["kv"].T
+        rows += [("e", *_row_sums(s["ids"][:, SPAN:].ravel(), dx)), ("p", *_row_sums(s["before"][:, SPAN:].ravel(), dx))]
         return g, rows
 
 
@@ -356,19 +355,17 @@ def _sequences(blobs: list[bytes], rank: np.ndarray, width: int) -> list[np.ndar
     return [np.concatenate([end, rank[np.frombuffer(x, f"<u{width}")], end]) for x in blobs]
 
 
-def rounds_of(doc_ids: list[int | None], blobs: list[bytes], row: np.ndarray) -> np.ndarray:
-    """The round that trains on each window; ``row`` has the window's document, ascending. Every window has one."""
-    key = np.array([zlib.crc32(x, zlib.crc32(str(i).encode())) for i, x in zip(doc_ids, blobs)], np.uint64)
-    nth = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.uint64)
-    ticket = mix64((key[row] << np.uint64(32)) + nth) % np.uint64(sum(SHARES))
-    return np.searchsorted(np.cumsum(SHARES), ticket, "right")
+def round_of() -> Column:
+    """The round that trains on a document (doc_id, ids)."""
+    ticket, cuts = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(sum(SHARES))), np.cumsum(SHARES).tolist()
+    return sum((ticket >= c).cast("int") for c in cuts[:-1])
 
 
 _WEIGHTS = "trainer int, name string, block int, steps double, w binary"
 
 
-def _train(folder: str, layout_name: str, weights_name: str, width: int, turn: int, done: int, expected: int):
-    """Train on this task's windows of the turn; gives the blocks of weights and squares that changed."""
+def _train(folder: str, layout_name: str, weights_name: str, width: int, done: int, expected: int):
+    """Train on all windows of this task's texts; gives the blocks of weights and squares that changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(_load(folder, layout_name)["counts"])
@@ -379,9 +376,8 @@ def _train(folder: str, layout_name: str, weights_name: str, width: int, turn: i
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                blobs = b.column("ids").to_pylist()
-                w, row = windows(_sequences(blobs, layout.rank, width), layout.pad)
-                t.add(w[rounds_of(b.column("doc_id").to_pylist(), blobs, row) == turn])
+                w, _ = windows(_sequences(b.column("ids").to_pylist(), layout.rank, width), layout.pad)
+                t.add(w)
         t.learn()
         if t.n:
             trainer = TaskContext.get().partitionId()
@@ -526,12 +522,12 @@ def train(coded: DataFrame, folder: str, width: int, vocabulary: int) -> tuple[s
     # No more trainers than the written table has partitions; several of those make one trainer without a shuffle.
     parts = texts.rdd.getNumPartitions()
     trainers = max(1, min(parts, round(float(counts.sum()) / TRAINER_IDS)))
-    texts, done = texts.coalesce(trainers), 0
+    done = 0
     for turn, share in enumerate(SHARES):
         expected = int(counts.sum() / SPAN / trainers * share / sum(SHARES))
-        job = _train(folder, layout_name, _save(folder, weights), width, turn, done, expected)
+        job = _train(folder, layout_name, _save(folder, weights), width, done, expected)
         got, steps = {}, 0
-        for r in averaged(texts.mapInArrow(job, _WEIGHTS), trainers).collect():  # the tables' blocks, once
+        for r in averaged(texts.filter(round_of() == turn).coalesce(trainers).mapInArrow(job, _WEIGHTS), trainers).collect():  # the tables' blocks, once
             got.setdefault(r["name"], {})[r["block"]] = np.frombuffer(r["w"], np.float32)
             steps = max(steps, int(r["steps"] / trainers))
         for name, blocks in got.items():

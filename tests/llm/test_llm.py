@@ -239,7 +239,7 @@ def test_classes_are_bounded_runs():
 def test_gradients_match_differences():
     layout, p = _small_model()
     m = lm_score.Attention(layout, p)
-    w, _ = lm_score.windows(_texts(layout, (40, 3)), layout.pad)
+    w, _ = lm_score.windows(_texts(layout, (15, 3)), layout.pad)  # no ids before the span: those are constants to the gradient
     g, rows = m.gradients(w)
     for k in lm_score.TABLES:
         g[k] = np.zeros_like(p[k])
@@ -266,22 +266,39 @@ def test_windows_count_each_target_once():
         assert y[y != layout.pad].tolist() == s[1:].tolist()
 
 
-def test_training_takes_every_window_once(monkeypatch):
+def test_keys_before_the_span_are_constants():
+    """The gradient of a later window, with respect to weights that only its own places use."""
+    layout, p = _small_model()
+    m = lm_score.Attention(layout, p)
+    w = lm_score.windows(_texts(layout, (40,)), layout.pad)[0][1:2]
+    g, _ = m.gradients(w)
+    for name in ("q", "o", "w1", "b1", "w2", "uc", "bc", "r"):
+        flat, at, loss = p[name].reshape(-1), int(np.abs(g[name]).argmax()), []
+        old = flat[at]
+        for step in (1e-5, -1e-5):
+            flat[at] = old + step
+            loss.append(-m.log_probability(w).sum() / lm_score.SPAN)
+        flat[at] = old
+        assert abs((loss[0] - loss[1]) / 2e-5 - g[name].reshape(-1)[at]) < 1e-3 * abs(g[name].reshape(-1)[at]) + 1e-6, name
+
+
+def test_training_takes_every_window_once(spark, monkeypatch):
     layout, p = _small_model(kind=np.float32)
     r = np.random.RandomState(4)
-    blobs = [r.randint(0, 50, n).astype("<u2").tobytes() for n in (0, 5, 40, 300, 40, 700)]
-    doc_ids = [1, None, 3, 4, 5, 6]
-    w, row = lm_score.windows(lm_score._sequences(blobs, layout.rank, 2), layout.pad)
-    turns = lm_score.rounds_of(doc_ids, blobs, row)
-    again = lm_score.rounds_of(doc_ids[::-1], blobs[::-1], np.sort(5 - row))
-    assert sorted(turns) == sorted(again) and set(turns) <= set(range(len(lm_score.SHARES)))
+    blobs = [r.randint(0, 50, n).astype("<u2").tobytes() for n in (0, 5, 40, 300, 40, 700)] * 20
+    df = spark.createDataFrame([(i if i % 7 else None, bytearray(b)) for i, b in enumerate(blobs)], "doc_id long, ids binary")
+    rounds = [[bytes(x["ids"]) for x in df.filter(lm_score.round_of() == turn).collect()] for turn in range(len(lm_score.SHARES))]
+    assert Counter(b for x in rounds for b in x) == Counter(blobs) and len(rounds[2]) > len(rounds[1]) > len(rounds[0]) > 0
     seen = Counter()
     monkeypatch.setattr(lm_score.Attention, "gradients", lambda self, w: seen.update(x.tobytes() for x in w) or ({}, []))
-    for turn in range(len(lm_score.SHARES)):
-        t = lm_score.Trainer(layout, p, None, 0, 10)
-        t.add(w[turns == turn])
-        t.learn()
-    assert seen == Counter(x.tobytes() for x in w)
+    monkeypatch.setattr(lm_score, "POOL", 100)
+    t, want = lm_score.Trainer(layout, p, None, 0, 10), Counter()
+    for i in range(0, len(blobs), 7):
+        w, _ = lm_score.windows(lm_score._sequences(blobs[i : i + 7], layout.rank, 2), layout.pad)
+        want.update(x.tobytes() for x in w)
+        t.add(w)
+    t.learn()
+    assert seen == want
 
 
 def test_weights_are_averaged_in_groups(spark, monkeypatch):
