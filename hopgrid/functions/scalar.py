@@ -27,7 +27,7 @@ def substring(s: Column, start: int | Column, length: int | Column | None = None
 
 def regex_full(s: Column, pattern: str) -> Column:
     """``=~``: the whole string matches."""
-    return s.rlike(f"^(?:{pattern})$")
+    return s.rlike(rf"\A(?:{pattern})\z")
 
 
 def size(x: Column, kind: str = "list") -> Column:
@@ -75,6 +75,12 @@ def keys(*names: str, of: dict[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(of[n].isNotNull(), F.lit(n)) for n in names)), lambda k: k.isNotNull())
 
 
+def properties(**of: Column) -> Column:
+    """A map of the properties that are set, as text."""
+    pairs = F.filter(F.array(*(F.struct(F.lit(n), c.cast("string")) for n, c in of.items())), lambda e: e["col2"].isNotNull())
+    return F.map_from_entries(pairs)
+
+
 # -- numbers
 
 
@@ -93,10 +99,7 @@ def round_(x: Column, digits: int = 0) -> Column:
 
 def divide(a: Column, b: Column, integral: bool) -> Column:
     """``/``: integers divide to an integer, towards zero."""
-    if not integral:
-        return a / b
-    q = F.abs(a) / F.abs(b)
-    return (F.signum(a.cast("double")) * F.signum(b.cast("double")) * F.floor(q)).cast("bigint")
+    return F.call_function("div", a, b) if integral else a / b
 
 
 def log(x: Column) -> Column:
@@ -108,9 +111,9 @@ def log(x: Column) -> Column:
 
 
 def to_integer(x: Column) -> Column:
-    """Cuts fractions off."""
+    """Cuts fractions off; null beyond the range of a long."""
     d = x.try_cast("double")
-    return F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("bigint")
+    return F.coalesce(x.try_cast("bigint"), F.when((d >= -(2.0**63)) & (d < 2.0**63), F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("bigint")))
 
 
 def to_float(x: Column) -> Column:
@@ -132,6 +135,8 @@ def xor(a: Column, b: Column) -> Column:
 
 # -- time
 
+#: Numbers below DAYS_BELOW are days since 1970, from MILLIS_FROM on milliseconds.
+DAYS_BELOW, MILLIS_FROM = 100_000, 100_000_000_000
 #: Seconds of an average year and month, for durations given in words.
 YEAR_S, MONTH_S = 365.25 * 86400, 30.4375 * 86400
 
@@ -144,6 +149,36 @@ def duration_seconds(iso: Column) -> Column:
     return F.when(iso.rlike(r"^-?P[0-9T]"), F.when(iso.startswith("-"), -total).otherwise(total))
 
 
+def duration(iso: Column) -> Column:
+    """(months, seconds) of an ISO-8601 duration: months and years stay calendar units."""
+    part = lambda unit, t: F.coalesce(F.regexp_extract(iso, t.format(unit), 1).try_cast("double"), F.lit(0.0))
+    date, time = r"^-?P[^T]*?([0-9.]+){}", r"T.*?([0-9.]+){}"
+    sign = F.when(iso.startswith("-"), -1).otherwise(1)
+    months = part("Y", date) * 12 + part("M", date)
+    seconds = part("W", date) * 604800 + part("D", date) * 86400 + part("H", time) * 3600 + part("M", time) * 60 + part("S", time)
+    return F.when(iso.rlike(r"^-?P[0-9T]"), F.struct((sign * months).cast("int").alias("months"), (sign * seconds).alias("seconds")))
+
+
+def plus_duration(t: Column, d: Column) -> Column:
+    """A timestamp later by a duration: first whole months of the calendar (the day is held to the month's last), then seconds."""
+    moved = t + F.make_interval(F.lit(0), d["months"])
+    return moved + F.make_dt_interval(secs=d["seconds"].cast("decimal(18,6)"))
+
+
+def datetime_from_text(s: Column) -> Column:
+    """ISO-8601 date and time (a space may stand for T); null where it is none."""
+    return F.try_to_timestamp(F.replace(F.trim(s), F.lit("T"), F.lit(" ")))
+
+
+def time_of_day(x: Column) -> Column:
+    """Microseconds since midnight of a text such as 10:35:00.5 or 10:35, or of a timestamp's text; null where it is none."""
+    text = F.regexp_extract(x.cast("string"), r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)$", 1)
+    p = F.split(text, ":")
+    at = lambda i: F.get(p, F.lit(i)).try_cast("decimal(10,6)")
+    h, m, s = at(0), at(1), F.coalesce(at(2), F.lit(0).cast("decimal(10,6)"))
+    return F.when((text != "") & (h < 24) & (m < 60) & (s < 60), ((h * 3600 + m * 60 + s) * 1_000_000).cast("bigint"))
+
+
 def duration_between(a: Column, b: Column) -> Column:
     """Whole seconds from a to b."""
     return F.timestamp_diff("SECOND", a, b).cast("bigint")
@@ -151,12 +186,12 @@ def duration_between(a: Column, b: Column) -> Column:
 
 def date_from_number(n: Column) -> Column:
     """Days since 1970 below 100 000, else seconds."""
-    return F.when(F.abs(n) < 100_000, F.date_add(F.lit("1970-01-01").cast("date"), n.cast("int"))).otherwise(F.to_date(F.timestamp_seconds(n)))
+    return F.when(F.abs(n) < DAYS_BELOW, F.date_add(F.lit("1970-01-01").cast("date"), n.cast("int"))).otherwise(F.to_date(F.timestamp_seconds(n)))
 
 
 def datetime_from_number(n: Column) -> Column:
     """Milliseconds from 1e11 on, else seconds."""
-    return F.when(F.abs(n) >= 100_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
+    return F.when(F.abs(n) >= MILLIS_FROM, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
 
 
 # -- places
@@ -232,11 +267,11 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Larger is nearer: cosine, dot, or 1 / (1 + squared distance) for euclidean."""
+    """Larger is nearer: cosine (null with a zero vector), dot, or 1 / (1 + squared distance) for euclidean."""
     if metric == "dot":
         return _dot(a, b)
     if metric == "cosine":
-        return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+        return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
     if metric == "euclidean":
         d = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
         return 1.0 / (1.0 + _dot(d, d))

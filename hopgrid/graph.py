@@ -9,7 +9,10 @@ Graphs are values; a change gives a new graph that shares all other tables.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +20,39 @@ from pyspark.sql import functions as F
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,62}")
 
 
-@dataclass(frozen=True)
-class Nodes:
-    label: str
-    df: DataFrame
-    key: str
-    extra_labels: tuple[str, ...] = ()
+class _Table:
+    """A named table; its DataFrame may be given as a function, which is called when the table is first used."""
+
+    def __init__(self, df: DataFrame | Callable[[], DataFrame]):
+        self._df = df
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    def with_df(self, df: DataFrame):
+        """The same table over other rows."""
+        new = copy(self)
+        new._df = df
+        return new
+
+
+class Nodes(_Table):
+    def __init__(self, label: str, df: DataFrame | Callable[[], DataFrame], key: str, extra_labels: tuple[str, ...] = ()):
+        super().__init__(df)
+        self.label, self.key, self.extra_labels = label, key, extra_labels
 
     @property
     def labels(self) -> set[str]:
         return {self.label, *self.extra_labels}
 
 
-@dataclass(frozen=True)
-class Edges:
-    type: str
-    df: DataFrame
-    src: str
-    dst: str
-    key: tuple[str, ...] = ()
-    src_label: str | None = None
-    dst_label: str | None = None
+class Edges(_Table):
+    def __init__(self, type: str, df: DataFrame | Callable[[], DataFrame], src: str, dst: str, key: tuple[str, ...] = (), src_label: str | None = None, dst_label: str | None = None):
+        super().__init__(df)
+        self.type, self.src, self.dst, self.key, self.src_label, self.dst_label = type, src, dst, key, src_label, dst_label
 
     def rows(self) -> DataFrame:
         """Properties with ``_src``, ``_dst``, ``_eid`` and ``_type``."""
@@ -103,13 +118,45 @@ class Graph:
 
 
 def label_test(expression: str, labels: set[str]) -> bool:
-    """Whether ``labels`` satisfy an expression of names, ``%``, ``!``, ``&``, ``|`` and parentheses."""
+    """Whether ``labels`` satisfy an expression of names, ``%``, ``!``, ``&``, ``|`` and parentheses.
+
+    ``!`` binds closest, then ``&``, then ``|``; AND, OR and NOT may stand for them. What is no
+    expression is taken as one name.
+    """
     text = re.sub(r"\bAND\b", "&", re.sub(r"\bOR\b", "|", re.sub(r"\bNOT\b", "!", expression)))
-    items = re.findall(r"`[^`]+`|[A-Za-z_]\w*|[!&|()%*]", text)
-    code = "".join({"!": " not ", "&": " and ", "|": " or ", "(": "(", ")": ")", "%": "True", "*": "True"}.get(t, str(t.strip("`") in labels)) for t in items)
+    items = [*re.findall(r"`[^`]+`|[A-Za-z_]\w*|[!&|()%*]", text), ""]
+
+    def either() -> bool:
+        found = both()
+        while items[0] == "|":
+            items.pop(0)
+            found = both() or found
+        return found
+
+    def both() -> bool:
+        found = one()
+        while items[0] == "&":
+            items.pop(0)
+            found = one() and found
+        return found
+
+    def one() -> bool:
+        item = items.pop(0)
+        if item == "!":
+            return not one()
+        if item == "(":
+            found = either()
+            if items.pop(0) != ")":
+                raise ValueError(expression)
+            return found
+        if item in ("", "&", "|", ")"):
+            raise ValueError(expression)
+        return item in ("%", "*") or item.strip("`") in labels
+
     try:
-        return bool(eval(code, {"__builtins__": {}}))  # noqa: S307  only True, False, not, and, or, parentheses
-    except SyntaxError:
+        found = either()
+        return found if items == [""] else expression in labels
+    except (ValueError, IndexError):
         return expression in labels
 
 
@@ -117,7 +164,7 @@ def graph_from_tables(name: str, tables: dict[str, DataFrame], keys: dict[str, s
     """A graph from relational declarations: keys[table] and foreign[table] = [(column, other table)].
 
     Every table is a label; a table with two or more foreign keys is also an edge type along its
-    first two; one foreign key gives an edge type ``HAS_<other>`` from the table to the other.
+    first two; one foreign key gives an edge type ``HAS_<this table>`` from the other table to this one.
     """
     g = Graph(name)
     for t, df in tables.items():
@@ -128,34 +175,47 @@ def graph_from_tables(name: str, tables: dict[str, DataFrame], keys: dict[str, s
             (a, x), (b, y) = links[:2]
             g = g.with_edges(Edges(t.upper(), df, a, b, (keys[t],) if t in keys else (), x, y))
         elif links:
-            g = g.with_edges(Edges(f"HAS_{links[0][1].upper()}", df.select(keys[t], links[0][0]), keys[t], links[0][0], (keys[t],), t, links[0][1]))
+            column, other = links[0]
+            g = g.with_edges(Edges(f"HAS_{t.upper()}", df.filter(F.col(column).isNotNull()).select(column, keys[t]), column, keys[t], (keys[t],), other, t))
     return g
 
 
 def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph over the bundled tables: trade, events, conversations and a cyclic nation map."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    nation, lines = read("nation"), read("lineitem")
+    """The graph over the bundled tables: trade, events, conversations and a cyclic nation map. Only tables that a query uses are opened."""
+
+    @cache
+    def read(t: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
+    def of(t: str, *columns: str) -> Callable[[], DataFrame]:
+        return lambda: read(t).select(*columns) if columns else read(t)
+
+    def turns() -> DataFrame:
+        return read("conversations").withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
+
+    def adjacent() -> DataFrame:
+        n = F.col("n_nationkey")
+        ways = F.array(F.struct(((n + 1) % 25).alias("b"), F.lit(1).alias("way")), F.struct(((n * 3) % 25).alias("b"), F.lit(3).alias("way")))
+        return read("nation").select(n.alias("a"), F.explode(ways).alias("x")).select("a", "x.b", "x.way")
+
     line_key = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice")
-    turns = read("conversations").withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
-    adjacent = nation.select(F.col("n_nationkey").alias("a"), F.explode(F.array(F.struct(((F.col("n_nationkey") + 1) % 25).alias("b"), F.lit(1).alias("way")), F.struct(((F.col("n_nationkey") * 3) % 25).alias("b"), F.lit(3).alias("way")))).alias("x")).select("a", "x.b", "x.way")
     return (
         Graph("trade")
         .with_nodes(
-            Nodes("Region", read("region"), "r_regionkey"), Nodes("Nation", nation, "n_nationkey"), Nodes("Customer", read("customer"), "c_custkey", ("Party",)),
-            Nodes("Supplier", read("supplier"), "s_suppkey", ("Party",)), Nodes("Part", read("part"), "p_partkey"), Nodes("Order", read("orders"), "o_orderkey"),
-            Nodes("Event", read("events"), "event_id"), Nodes("Document", read("documents"), "doc_id"), Nodes("Turn", turns, "turn_id"),
+            Nodes("Region", of("region"), "r_regionkey"), Nodes("Nation", of("nation"), "n_nationkey"), Nodes("Customer", of("customer"), "c_custkey", ("Party",)),
+            Nodes("Supplier", of("supplier"), "s_suppkey", ("Party",)), Nodes("Part", of("part"), "p_partkey"), Nodes("Order", of("orders"), "o_orderkey"),
+            Nodes("Event", of("events"), "event_id"), Nodes("Document", of("documents"), "doc_id"), Nodes("Turn", turns, "turn_id"),
         )
         .with_edges(
-            Edges("PLACED", read("orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", ("o_orderkey",), "Customer", "Order"),
-            Edges("CONTAINS", lines, "l_orderkey", "l_partkey", line_key, "Order", "Part"),
-            Edges("SUPPLIED_BY", lines, "l_partkey", "l_suppkey", line_key, "Part", "Supplier"),
-            Edges("IN_NATION", read("customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", ("c_custkey",), "Customer", "Nation"),
-            Edges("BASED_IN", read("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", ("s_suppkey",), "Supplier", "Nation"),
-            Edges("IN_REGION", nation.select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", ("n_nationkey",), "Nation", "Region"),
-            Edges("PERFORMED", read("events").select("user_id", "event_id"), "user_id", "event_id", ("event_id",), "Customer", "Event"),
+            Edges("PLACED", of("orders", "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", ("o_orderkey",), "Customer", "Order"),
+            Edges("CONTAINS", of("lineitem"), "l_orderkey", "l_partkey", line_key, "Order", "Part"),
+            Edges("SUPPLIED_BY", of("lineitem"), "l_partkey", "l_suppkey", line_key, "Part", "Supplier"),
+            Edges("IN_NATION", of("customer", "c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", ("c_custkey",), "Customer", "Nation"),
+            Edges("BASED_IN", of("supplier", "s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", ("s_suppkey",), "Supplier", "Nation"),
+            Edges("IN_REGION", of("nation", "n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", ("n_nationkey",), "Nation", "Region"),
+            Edges("PERFORMED", of("events", "user_id", "event_id"), "user_id", "event_id", ("event_id",), "Customer", "Event"),
             Edges("ADJACENT", adjacent, "a", "b", ("a", "way"), "Nation", "Nation"),
-            Edges("NEXT", turns.select("turn_id", F.concat_ws(":", "conv_id", F.col("turn") + 1).alias("next_id")), "turn_id", "next_id", ("turn_id",), "Turn", "Turn"),
+            Edges("NEXT", lambda: turns().select("turn_id", F.concat_ws(":", "conv_id", F.col("turn") + 1).alias("next_id")), "turn_id", "next_id", ("turn_id",), "Turn", "Turn"),
         )
     )
 

@@ -46,7 +46,7 @@ def shortest_paths(graph: Graph, types: str | None, starts: DataFrame, key: str,
         front = written(step)
         if front.isEmpty():
             break
-        found = found.union(front)
+        found = written(found.union(front)) if n % 8 == 0 else found.union(front)
     return found
 
 
@@ -56,6 +56,8 @@ def page_rank(graph: Graph, label: str | None, types: str | None, iterations: in
     e = graph.edge_rows(types).select("_src", "_dst")
     e = written(e.join(e.groupBy("_src").agg(F.count("*").alias("out")), "_src"))
     n = nodes.count()
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     outs = e.select(F.col("_src").alias("key")).distinct()
     for _ in range(iterations):
@@ -75,31 +77,35 @@ def vector_search(df: DataFrame, vector: str, query: list[float], k: int = 10, m
     return scored.orderBy(F.desc("score"), *([tie] if tie else [])).limit(k)
 
 
-def _equals(word: str) -> Callable[[Column], Column]:
-    return lambda x: x == F.lit(word)
-
-
 def fulltext_search(df: DataFrame, key: str, fields: list[str], query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) by BM25 of the query's words in the fields; ``field:word`` looks in one field only."""
+    """(key, score) by BM25 of the query's words in the fields; ``field:word`` looks in one field only.
+
+    The texts are read once: their lengths and the words' counts are written, statistics and scores come from those.
+    """
     words = [w.lower() for w in query.split()]
-    text = lambda f: F.regexp_extract_all(F.lower(F.col(f)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    whole = F.concat(*(F.coalesce(text(f), F.array().cast("array<string>")) for f in fields))
-    cols = [F.col(key), F.size(whole).alias("_n")]
-    for i, w in enumerate(words):
-        f, colon, term = w.partition(":")
+    if not words:
+        return df.select(key, F.lit(0.0).alias("score")).limit(0)
+    tokens = lambda f: F.coalesce(F.regexp_extract_all(F.lower(F.col(f)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
+    split = df.select(key, *(tokens(f).alias(f"_k{i}") for i, f in enumerate(fields)))
+
+    def times(word: str) -> Column:
+        f, colon, term = word.partition(":")
         one_field = bool(colon) and f in fields
-        cols.append(F.size(F.filter(text(f) if one_field else whole, _equals(term if one_field else w))).alias(f"_t{i}"))
-    counts = df.select(*cols)
-    stats = counts.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.sum((F.col(f"_t{i}") > 0).cast("int")).alias(f"_d{i}") for i in range(len(words))))
-    rows = counts.crossJoin(F.broadcast(stats))  # one row
+        looked = [f"_k{fields.index(f)}"] if one_field else [f"_k{i}" for i in range(len(fields))]
+        return sum(F.size(k) - F.size(F.array_remove(k, term if one_field else word)) for k in looked)
+
+    rows = split.select(key, sum(F.size(f"_k{i}") for i in range(len(fields))).alias("_n"), *(times(w).alias(f"_t{i}") for i, w in enumerate(words)))
+    counts = written(rows)
+    stats = counts.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *(F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(words))))
+    some = counts.filter(" or ".join(f"_t{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
         tf, d = F.col(f"_t{i}"), F.col(f"_d{i}")
         idf = F.log(1 + (F.col("_docs") - d + 0.5) / (d + 0.5))
         return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_n") / F.col("_avg")))
 
-    score = sum((part(i) for i in range(1, len(words))), part(0)) if words else F.lit(0.0)
-    return rows.select(key, score.alias("score")).filter("score > 0")
+    score = sum((part(i) for i in range(1, len(words))), part(0))
+    return some.select(key, score.alias("score")).filter("score > 0")
 
 
 PROCEDURES: dict[str, Callable[..., DataFrame]] = {"subgraph_nodes": reachable, "shortest_paths": shortest_paths, "page_rank": page_rank}

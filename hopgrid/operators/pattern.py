@@ -66,8 +66,11 @@ class Pattern:
             df = self.df.join(e, f"{src}__key").withColumnRenamed(f"{var}__dst", f"{to}__key")
         names = None if types is None else {t.strip() for t in types.split("|")}
         for other, theirs in self._edges:
-            if names is None or theirs is None or names & set(theirs.split("|")):
-                df = df.filter(~((F.col(f"{var}__type") == F.col(f"{other}__type")) & (F.col(f"{var}__eid").cast("string") == F.col(f"{other}__eid").cast("string"))))
+            if names is None or theirs is None or names & {t.strip() for t in theirs.split("|")}:
+                mine, its = F.col(f"{var}__eid"), F.col(f"{other}__eid")
+                if df.schema[f"{var}__eid"].dataType != df.schema[f"{other}__eid"].dataType:
+                    mine, its = mine.cast("string"), its.cast("string")
+                df = df.filter(~((F.col(f"{var}__type") == F.col(f"{other}__type")) & (mine == its)))
         out = Pattern(self.graph, df, (*self._edges, (var, types)), self._start, self._labels)
         if label is not None:
             out = out.node(to, label)
@@ -163,12 +166,41 @@ class Pattern:
                     break
             if n >= low:
                 levels.append(front)
-        out = reduce(DataFrame.union, levels)
+        out = reduce(DataFrame.union, levels) if levels else front.limit(0)
         out = out.withColumnRenamed("_at", f"{to}__key")
         if path:
             out = out.withColumns({f"{path}__length": F.col("_len"), f"{path}__nodes": F.col("_nodes"), f"{path}__rels": F.col("_rels")})
         return self._with(out.drop("_len", "_nodes", "_rels", "_closed"), labels={to: None})
 
+    def path(self, name: str, nodes: list[str], edges: list[str]) -> "Pattern":
+        """A path variable over a fixed chain: ``<name>__length``, ``__nodes`` (keys) and ``__rels`` (type and id)."""
+        rels = F.array(*(F.concat_ws("|", f"{e}__type", F.col(f"{e}__eid").cast("string")) for e in edges))
+        keys = F.array(*(F.col(f"{n}__key").cast("string") for n in nodes))
+        return self._with(self.df.withColumns({f"{name}__length": F.lit(len(edges)), f"{name}__nodes": keys, f"{name}__rels": rels}))
+
+    def ends(self, edge: str, start: str, end: str) -> "Pattern":
+        """The nodes at an edge's ends, with their properties, as the variables ``start`` and ``end``."""
+        t = self.graph.edges[self.df_type(edge)]
+        source = self if f"{edge}__src" in self.df.columns else self.let(**{f"{edge}__src": F.col(f"{edge}__{t.src}")})
+        both = source.let(**{f"{start}__key": F.col(f"{edge}__{t.src}"), f"{end}__key": F.col(f"{edge}__{t.dst}")})
+        return both.node(start, t.src_label).node(end, t.dst_label)
+
+    def df_type(self, edge: str) -> str:
+        """The one type of an edge variable."""
+        types = dict(self._edges).get(edge)
+        if types is None or "|" in types:
+            raise ValueError(f"{edge!r} has no single type")
+        return types.strip()
+
+    # -- looking at the plan
+
+    def explain(self, mode: str = "formatted") -> str:
+        """The plan as text; nothing runs."""
+        return plan_text(self.df, mode)
+
+    def profile(self) -> DataFrame:
+        return profiled(self.df)
+
     # -- projections
 
     def with_(self, *items: Column, where: Column | None = None, order: list[Column] | None = None, skip: int = 0, limit: int | None = None, distinct: bool = False) -> "Pattern":
@@ -207,6 +239,58 @@ def project(df: DataFrame, *items: Column, distinct: bool = False, order: list[C
     return df.limit(limit) if limit is not None else df
 
 
+def plan_text(df: DataFrame, mode: str = "formatted") -> str:
+    """EXPLAIN: Spark's plan of ``df`` (simple, extended, codegen, cost or formatted)."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def profiled(df: DataFrame) -> DataFrame:
+    """PROFILE: runs ``df`` and gives (step, depth, operator, rows), the executed plan's operators from the top; rows null where an operator counts none."""
+    spark = df.sparkSession
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    out: list[tuple] = []
+
+    def walk(node, depth: int) -> None:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan(), depth)
+        if name.endswith("QueryStage"):
+            return walk(node.plan(), depth)
+        if name not in ("InputAdapter",) and not name.startswith("WholeStageCodegen"):
+            rows = node.metrics().get("numOutputRows")
+            out.append((len(out), depth, name, rows.get().value() if rows.isDefined() else None))
+            depth += 1
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i), depth)
+
+    walk(execution.executedPlan(), 0)
+    return spark.createDataFrame(out, "step int, depth int, operator string, rows long")
+
+
+class Parameters:
+    """Named values of a query: ``p("name")`` is the value as a column; a missing one is an error that names it."""
+
+    def __init__(self, **values):
+        self.values = values
+
+    def __call__(self, name: str) -> Column:
+        if name not in self.values:
+            raise ValueError(f"no value for parameter ${name}; there are {sorted(self.values)}")
+        value = self.values[name]
+        return F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else F.lit(value)
+
+
+def mixed_order(*columns: tuple[str, Column]) -> list[Column]:
+    """Sort keys that order values of several kinds in one column set: kinds in the order given (a kind is a name and
+    its column, null where the value is of another kind), then within the kind; rows of no kind last."""
+    kind = F.lit(len(columns))
+    for i, (_, c) in reversed(list(enumerate(columns))):
+        kind = F.when(c.isNotNull(), F.lit(i)).otherwise(kind)
+    return [kind, *(c.asc_nulls_last() for _, c in columns)]
+
+
 def asc(c: Column) -> Column:
     """Ascending; null counts as the greatest value."""
     return c.asc_nulls_last()

@@ -6,15 +6,14 @@ import getpass
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back: a short lineage that outlives executors.
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below that of ``spark.checkpoint.dir``, deleted when the application ends.
 
     Only on a local master, where the setting may be absent, the local temp folder stands in.
     """
-    spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,5 +22,11 @@ def written(df: DataFrame) -> DataFrame:
     uri = f"{root.rstrip('/')}/level-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return uri
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a new shared folder and read back: a short lineage that outlives executors."""
+    uri = new_folder(df.sparkSession)
     df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..graph import prop, tpch_graph
+from ..graph import Edges, Graph, graph_from_tables, prop, tpch_graph
 from ..operators import algorithms, mutate
-from ..operators.pattern import asc, desc, match, opened
-from ..sources.tables import ingest_edges, join_relational, synthetic_nodes
+from ..operators.pattern import Parameters, asc, desc, match, mixed_order, opened
+from ..operators.shared import new_folder
+from ..schema import Field, NodeModel, violations
+from ..sources.tables import declare_edges, declare_nodes, edges_from_rows, ingest_edges, ingest_nodes, join_relational, load_csv, nodes_from_rows, read_rows, synthetic_nodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,9 +136,9 @@ def exists_pattern(g, spark, d):
     return match(g, "c", "Customer").exists(opened(g, "c").to("PLACED", "o", "Order", where=prop("o", "o_orderstatus") == "F")).return_(F.count("*").alias("n"), by=[])
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey=c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey=c_custkey and o_totalprice > 400000)")
 def exists_not(g, spark, d):
-    return match(g, "c", "Customer").exists(opened(g, "c").to("PLACED", "o"), negate=True).return_(F.col("c__key").alias("c_custkey"), prop("c", "c_name").alias("c_name"))
+    return match(g, "c", "Customer").exists(opened(g, "c").to("PLACED", "o", "Order", where=prop("o", "o_totalprice") > 400000), negate=True).return_(F.col("c__key").alias("c_custkey"), prop("c", "c_name").alias("c_name"))
 
 
 @query("select has_big, count(*) n from (select exists (select 1 from orders where o_custkey=c_custkey and o_totalprice>400000) has_big from customer) group by 1")
@@ -161,13 +163,13 @@ def pattern_comprehension(g, spark, d):
 
 def _paths(mode: str, low: int, high: int) -> str:
     keep = {"walk": "true", "trail": "not list_contains(p.rels, e.a||':'||e.way)", "acyclic": "not list_contains(p.nodes, e.b)", "simple": "(not list_contains(p.nodes, e.b) or p.nodes[1]=e.b) and (len(p.nodes)=1 or p.nodes[1]<>p.t)"}[mode]
-    return f"""with recursive e as (select a, b, way from {ADJ}), p as (select n_nationkey s, n_nationkey t, 0 n, [n_nationkey] nodes, []::varchar[] rels from nation where n_nationkey < 5
+    return f"""with recursive e as (select a, b, way from {ADJ}), p as (select n_nationkey s, n_nationkey t, 0 n, [n_nationkey] nodes, []::varchar[] rels from nation
 union all select p.s, e.b, n+1, list_append(p.nodes, e.b), list_append(p.rels, e.a||':'||e.way) from p join e on e.a=p.t where n < {high} and {keep})
 select s::bigint s, n::bigint length, count(*) paths, count(distinct t) ends from p where n >= {low} group by 1, 2"""
 
 
 def _hops(g, mode, low, high, **k):
-    p = match(g, "x", "Nation", F.col("x__n_nationkey") < 5).hops("ADJACENT", "y", low, high, mode=mode, path="p", **k)
+    p = match(g, "x", "Nation").hops("ADJACENT", "y", low, high, mode=mode, path="p", **k)
     return p.return_(F.count("*").alias("paths"), F.count_distinct("y__key").alias("ends"), by=[big(F.col("x__key")).alias("s"), fn.path_length("p").alias("length")])
 
 
@@ -215,9 +217,11 @@ def shortest_path_all(g, spark, d):
     return p.select(big(F.col("node")).alias("node"), big(F.col("length")).alias("length"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query()
+@query(f"""with recursive e as (select a, b, count(*) over (partition by a) n from {ADJ}), r as (select n_nationkey k, 0 i, 1.0::double/25 rank from nation
+union all select b, i+1, 0.15/25 + 0.85*sum(rank/n) from (select b, n, i, rank from r join e on e.a=r.k where i<20) group by b, i)
+select k::bigint nation, round(rank, 9) rank from r where i=20""")
 def page_rank_nations(g, spark, d):
-    return algorithms.call("page_rank", g, "Nation", "ADJACENT")
+    return algorithms.call("page_rank", g, "Nation", "ADJACENT").select(big(F.col("key")).alias("nation"), F.round("rank", 9).alias("rank"))
 
 
 # -- aggregates, order, scope
@@ -265,15 +269,15 @@ def order_nulls_last(g, spark, d):
     return p.return_(F.max("o__o_totalprice").alias("top"), by=[F.col("c__key").alias("c_custkey")], order=[asc(F.col("top")), F.col("c_custkey")], limit=40)
 
 
-@query("select * from (select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50) where o_totalprice < 400000")
+@query("select * from (select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50) where o_orderkey % 3 = 0")
 def with_limit_then_where(g, spark, d):
-    p = match(g, "o", "Order").with_(F.col("o__key").alias("o_orderkey"), prop("o", "o_totalprice").alias("o_totalprice"), order=[desc(prop("o", "o_totalprice")), F.col("o__key")], limit=50, where=F.col("o_totalprice") < 400000)
+    p = match(g, "o", "Order").with_(F.col("o__key").alias("o_orderkey"), prop("o", "o_totalprice").alias("o_totalprice"), order=[desc(prop("o", "o_totalprice")), F.col("o__key")], limit=50, where=F.col("o_orderkey") % 3 == 0)
     return p.return_()
 
 
-@query("select p_partkey, p_retailprice*1.1 taxed from part where p_retailprice*1.1 > 1500")
+@query("select p_partkey, p_retailprice*1.1 taxed from part where p_retailprice*1.1 > 1000")
 def let_and_filter(g, spark, d):
-    return match(g, "p", "Part").let(taxed=prop("p", "p_retailprice") * 1.1).where(F.col("taxed") > 1500).return_(F.col("p__key").alias("p_partkey"), F.col("taxed"))
+    return match(g, "p", "Part").let(taxed=prop("p", "p_retailprice") * 1.1).where(F.col("taxed") > 1000).return_(F.col("p__key").alias("p_partkey"), F.col("taxed"))
 
 
 @query("select r_name, x::bigint x, (x*x)::bigint sq from region, unnest(generate_series(1, r_regionkey)) t(x)")
@@ -394,9 +398,12 @@ def vector_euclidean(g, spark, d):
     return _vector(spark, d, "euclidean")
 
 
-@query()
+@query(r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') w from documents),
+c as (select doc_id, len(w) n, len(list_filter(w, lambda x: x='the')) t0, len(list_filter(w, lambda x: x='and')) t1, len(list_filter(w, lambda x: x='with')) t2 from w),
+s as (select count(*) docs, avg(n) av, count(*) filter (where t0>0) d0, count(*) filter (where t1>0) d1, count(*) filter (where t2>0) d2 from c)
+select doc_id, round(ln(1+(docs-d0+0.5)/(d0+0.5))*t0*2.2/(t0+1.2*(0.25+0.75*n/av)) + ln(1+(docs-d1+0.5)/(d1+0.5))*t1*2.2/(t1+1.2*(0.25+0.75*n/av)) + ln(1+(docs-d2+0.5)/(d2+0.5))*t2*2.2/(t2+1.2*(0.25+0.75*n/av)), 6) score from c, s where t0+t1+t2 > 0""")
 def fulltext_bm25(g, spark, d):
-    return algorithms.fulltext_search(g.nodes["Document"].df, "doc_id", ["text"], "the and with")
+    return algorithms.fulltext_search(g.nodes["Document"].df, "doc_id", ["text"], "the and with").select("doc_id", F.round("score", 6).alias("score"))
 
 
 # -- changes
@@ -436,7 +443,7 @@ def delete_detach(g, spark, d):
 @query("select count(*) n from (select o_orderkey from orders union all select o_orderkey+5000000 from orders join customer on c_custkey=o_custkey where o_orderkey%10=0)")
 def bulk_edges(g, spark, d):
     rows = g.edges["PLACED"].df.filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 5000000).alias("dst"))
-    g2 = ingest_edges(g.with_edges(g.edges["PLACED"].__class__("PLACED", g.edges["PLACED"].df, "o_custkey", "o_orderkey", ("o_orderkey",), "Customer")), "PLACED", rows, "src", "dst")
+    g2 = ingest_edges(g.with_edges(Edges("PLACED", g.edges["PLACED"].df, "o_custkey", "o_orderkey", ("o_orderkey",), "Customer")), "PLACED", rows, "src", "dst")
     return g2.edges["PLACED"].df.agg(F.count("*").alias("n"))
 
 
@@ -464,5 +471,196 @@ def optional_labels(g, spark, d):
 
 @query("""with w as (select x.c_nationkey nk, x.c_custkey a, y.c_custkey b from customer x join customer y on y.c_nationkey=x.c_nationkey and x.c_custkey<>y.c_custkey where x.c_mktsegment='BUILDING' and y.c_mktsegment='MACHINERY') select nk::bigint nk, count(*) pairs from w group by 1""")
 def colleagues_two_hop(g, spark, d):
-    p = match(g, "x", "Customer", F.col("x__c_mktsegment") == "BUILDING").to("IN_NATION", "n").from_("IN_NATION", "y", "Customer", where=prop("y", "c_mktsegment") == "MACHINERY")
-    return p.return_(F.count("*").alias("pairs"), by=[big(F.col("n__key")).alias("nk")])
+    # Only their number is asked, so each side is counted by nation first; no customer is in both segments.
+    of = lambda v, segment: opened(g, "n").from_("IN_NATION", v, "Customer", where=prop(v, "c_mktsegment") == segment)
+    p = match(g, "n", "Nation").count(of("x", "BUILDING"), "xs").count(of("y", "MACHINERY"), "ys").let(pairs=F.col("xs") * F.col("ys")).where(F.col("pairs") > 0)
+    return p.return_(big(F.col("n__key")).alias("nk"), F.col("pairs"))
+
+
+# -- reading, writing and changing graphs
+
+
+def _stored(df: DataFrame, form: str, folder: str) -> str:
+    """``df`` as files of a format in a new shared folder; its path."""
+    path = f"{new_folder(df.sparkSession)}/{folder}"
+    df.write.option("header", True).format(form).save(path)
+    return path
+
+
+@query("select n_nationkey::varchar k, n_name from nation where n_regionkey::varchar = '1'")
+def source_load_csv(g, spark, d):
+    rows = load_csv(spark, _stored(g.nodes["Nation"].df, "csv", "nation"))
+    v = lambda c: F.col("row")[c]
+    return rows.filter(v("n_regionkey") == "1").select(v("n_nationkey").alias("k"), v("n_name").alias("n_name"))
+
+
+@query("select n_regionkey::bigint r, count(*) n, min(n_name) first from nation group by 1")
+def source_csv_nodes(g, spark, d):
+    rows = read_rows(spark, _stored(g.nodes["Nation"].df, "csv", "nation"), "csv")
+    g2 = ingest_nodes(declare_nodes(Graph("g"), "Place", rows.limit(0).withColumnsRenamed({"n_nationkey": "id"}), "id"), "Place", rows, rename={"n_nationkey": "id"})
+    return match(g2, "p", "Place").return_(F.count("*").alias("n"), F.min(prop("p", "n_name")).alias("first"), by=[big(prop("p", "n_regionkey")).alias("r")])
+
+
+@query("select n_name, count(*) n from customer join nation on n_nationkey=c_nationkey group by 1")
+def source_parquet_graph(g, spark, d):
+    g2 = declare_nodes(declare_nodes(Graph("g"), "C", read_rows(spark, f"{d}/customer.parquet"), "c_custkey"), "N", read_rows(spark, [f"{d}/nation.parquet"]), "n_nationkey")
+    none = spark.createDataFrame([], "s bigint, t int")
+    g2 = ingest_edges(declare_edges(g2, "LIVES", none, "s", "t", (), "C", "N"), "LIVES", read_rows(spark, f"{d}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey")
+    return match(g2, "c", "C").to("LIVES", "n", "N").return_(F.count("*").alias("n"), by=[prop("n", "n_name").alias("n_name")])
+
+
+@query("select count(*) n, count(c_name) named, sum(c_custkey)::bigint keys from (select c_custkey, c_name from customer union all select c_custkey+5000000, null from customer)")
+def bulk_create(g, spark, d):
+    rows = g.nodes["Customer"].df.select((F.col("c_custkey") + 5000000).alias("c_custkey"))
+    return mutate.create_nodes(g, "Customer", rows).nodes["Customer"].df.agg(F.count("*").alias("n"), F.count("c_name").alias("named"), F.sum("c_custkey").alias("keys"))
+
+
+@query("select c_custkey, case when c_custkey%2=0 then upper(c_mktsegment) else c_mktsegment end seg, case when c_custkey%2=0 then 'seen' end note from customer union all select c_custkey+5000000, 'NEW', 'made' from customer where c_custkey%2=0")
+def bulk_merge(g, spark, d):
+    c = g.nodes["Customer"].df.filter("c_custkey % 2 = 0").select("c_custkey")
+    rows = c.union(c.select(F.col("c_custkey") + 5000000))
+    g2, _ = mutate.merge_nodes(g, "Customer", rows, on_create={"c_mktsegment": F.lit("NEW"), "note": F.lit("made")}, on_match={"c_mktsegment": F.upper("c_mktsegment"), "note": F.lit("seen")})
+    return g2.nodes["Customer"].df.select("c_custkey", F.col("c_mktsegment").alias("seg"), "note")
+
+
+@query("select o_orderkey, o_orderpriority, case when o_orderkey%5=0 then 'again' end mark from orders union all select o_orderkey+5000000, 'NEW', 'first' from orders where o_orderkey%5=0")
+def merge_relationship(g, spark, d):
+    t = g.edges["PLACED"]
+    g = g.with_edges(t.with_df(g.nodes["Order"].df.select("o_custkey", "o_orderkey", "o_orderpriority")))
+    some = t.df.filter("o_orderkey % 5 = 0")
+    rows = some.union(some.select("o_custkey", F.col("o_orderkey") + 5000000))
+    g2 = mutate.merge_edges(g, "PLACED", rows, on_create={"o_orderpriority": F.lit("NEW"), "mark": F.lit("first")}, on_match={"mark": F.lit("again")})
+    return g2.edges["PLACED"].df.select("o_orderkey", "o_orderpriority", "mark")
+
+
+@query("select 'customer' label, count(*) n from customer where c_custkey%4=0 union all select 'party', count(*) from customer where c_custkey%4<>0")
+def remove_label(g, spark, d):
+    g2 = mutate.remove_label(g, "Customer", "Party", F.col("c_custkey") % 4 == 0)
+    count = lambda expression, name: match(g2, "v", expression).return_(F.lit(name).alias("label"), F.count("*").alias("n"), by=[]).select("label", "n")
+    return count("Customer&!Party", "customer").union(count("Party&!Supplier", "party"))
+
+
+@query("select (select count(*) from customer)::bigint nodes_created, (select count(*) from supplier where s_acctbal<0)::bigint nodes_deleted, 0::bigint relationships_created, (select 2*count(*) from lineitem join supplier on s_suppkey=l_suppkey where s_acctbal<0)::bigint*0 + (select count(*) from lineitem join supplier on s_suppkey=l_suppkey where s_acctbal<0)::bigint + (select count(*) from supplier where s_acctbal<0)::bigint relationships_deleted")
+def change_counters(g, spark, d):
+    more = g.nodes["Customer"].df.select((F.col("c_custkey") + 5000000).alias("c_custkey"))
+    g2 = mutate.delete_nodes(mutate.create_nodes(g, "Customer", more), "Supplier", g.nodes["Supplier"].df.filter("s_acctbal < 0").select("s_suppkey"), detach=True)
+    return spark.createDataFrame([mutate.counters(g, g2)], "nodes_created long, nodes_deleted long, relationships_created long, relationships_deleted long")
+
+
+@query("select r_name, count(*) n from nation join region on r_regionkey=n_regionkey join customer on c_nationkey=n_nationkey group by 1")
+def graph_from_metadata(g, spark, d):
+    tables = {"region": g.nodes["Region"].df, "nation": g.nodes["Nation"].df, "customer": g.nodes["Customer"].df}
+    g2 = graph_from_tables("shop", tables, {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey"}, {"nation": [("n_regionkey", "region")], "customer": [("c_nationkey", "nation")]})
+    p = match(g2, "r", "region").to("HAS_NATION", "n").to("HAS_CUSTOMER", "c")
+    return p.return_(F.count("*").alias("n"), by=[prop("r", "r_name").alias("r_name")])
+
+
+@query("select c_mktsegment seg, count(distinct n_nationkey) n from customer join nation on n_nationkey=c_nationkey group by 1")
+def nodes_from_results(g, spark, d):
+    rows = match(g, "c", "Customer").to("IN_NATION", "n", "Nation").df
+    g2 = Graph("found").with_nodes(nodes_from_rows(rows, "c", "c_custkey", "C"), nodes_from_rows(rows, "n", "n_nationkey", "N")).with_edges(edges_from_rows(rows, "c", "n", "IN", "C", "N"))
+    return match(g2, "c", "C").to("IN", "n", "N").return_(F.count_distinct("n__key").alias("n"), by=[prop("c", "c_mktsegment").alias("seg")])
+
+
+@query("""select 'unique' "constraint", 'n_name' field, (select coalesce(sum(c), 0) from (select count(*) c from nation group by n_name having count(*) > 1))::bigint "rows"
+union all select 'not null', 'n_nationkey', (select count(*) from nation where n_nationkey is null) union all select 'unique', 'n_nationkey', 0 union all select 'unique', 'n_regionkey', (select sum(c) from (select count(*) c from nation group by n_regionkey having count(*) > 1))::bigint""")
+def constraint_checks(g, spark, d):
+    return violations(g, NodeModel("Nation", (Field("n_nationkey", "INT", primary_key=True), Field("n_name", unique=True), Field("n_regionkey", "INT", unique=True))))
+
+
+# -- paths, parts of edges, parameters, plans
+
+
+@query("select count(*) n, sum(len)::bigint hops, count(distinct k) paths from (select 2 len, c_custkey||'>'||o_orderkey||'>'||l_partkey k from customer join orders on o_custkey=c_custkey join lineitem on l_orderkey=o_orderkey)")
+def path_variable(g, spark, d):
+    p = match(g, "c", "Customer").to("PLACED", "o", edge="x").to("CONTAINS", "p", edge="y").path("way", ["c", "o", "p"], ["x", "y"])
+    return p.return_(F.count("*").alias("n"), F.sum(fn.path_length("way")).alias("hops"), F.count_distinct(F.array_join(fn.path_nodes("way"), ">")).alias("paths"), by=[])
+
+
+@query(f"select x.a s, count(*) n, min(x.a||','||('ADJACENT|{{'||x.a||', '||x.way||'}}')||','||x.b) least from {ADJ} x group by 1")
+def path_elements(g, spark, d):
+    p = match(g, "s", "Nation").hops("ADJACENT", "t", 1, 1, path="way")
+    return p.return_(F.count("*").alias("n"), F.min(F.array_join(fn.elements("way"), ",")).alias("least"), by=[F.col("s__key").alias("s")])
+
+
+@query("select c_mktsegment seg, count(*) n, sum(cast(round(o_totalprice*100) as bigint))::bigint cents from orders join customer on c_custkey=o_custkey group by 1")
+def edge_ends(g, spark, d):
+    p = opened(g, "a").to("PLACED", "b", edge="e")
+    p = p.let(e__o_custkey=F.col("a__key"), e__o_orderkey=F.col("b__key")).ends("e", "c", "o")
+    return p.return_(F.count("*").alias("n"), F.sum(cents(prop("o", "o_totalprice"))).alias("cents"), by=[prop("c", "c_mktsegment").alias("seg")])
+
+
+@query("select 'PLACED' t, 'Customer:'||c_custkey id, count(*) n from customer join orders on o_custkey=c_custkey group by 2")
+def type_and_element_id(g, spark, d):
+    p = match(g, "c", "Customer").to("PLACED", "o", edge="e")
+    return p.return_(F.count("*").alias("n"), by=[fn.type_of("e").alias("t"), fn.element_id("Customer", F.col("c__key")).alias("id")])
+
+
+@query("select l, count(*) n from (select 'Customer,Party' l from customer union all select 'Party,Supplier' from supplier) group by 1")
+def node_labels(g, spark, d):
+    return match(g, "v", "Party").return_(F.count("*").alias("n"), by=[F.array_join(fn.labels("v"), ",").alias("l")])
+
+
+@query("select p_partkey, case when p_size > 25 then 'p_name' else 'p_name,p_size' end ks, case when p_size > 25 then 1 else 2 end::bigint n, p_name from part")
+def keys_and_properties(g, spark, d):
+    small = {"p_name": prop("p", "p_name"), "p_size": F.when(prop("p", "p_size") <= 25, prop("p", "p_size"))}
+    m = fn.properties(**small)
+    return match(g, "p", "Part").return_(F.col("p__key").alias("p_partkey"), F.array_join(fn.keys("p_name", "p_size", of=small), ",").alias("ks"), big(F.size(m)).alias("n"), m["p_name"].alias("p_name"))
+
+
+@query("select count(*) n, min(o_totalprice) low from orders where o_totalprice > 200000 and o_orderstatus in ('F', 'P')")
+def parameters(g, spark, d):
+    p = Parameters(least=200000.0, statuses=["F", "P"])
+    found = match(g, "o", "Order").where(prop("o", "o_totalprice") > p("least"), fn.in_list(prop("o", "o_orderstatus"), p("statuses")))
+    return found.return_(F.count("*").alias("n"), F.min(prop("o", "o_totalprice")).alias("low"), by=[])
+
+
+@query("select x, y, row_number() over (order by case when x is not null then 0 when y is not null then 1 else 2 end, x nulls last, y nulls last)::bigint place from (select case when n_nationkey%3=0 then n_nationkey end x, case when n_nationkey%3=1 then n_name end y from nation where n_nationkey%3<2)")
+def mixed_type_order(g, spark, d):
+    k = F.col("n__key")
+    rows = match(g, "n", "Nation").where(k % 3 < 2).return_(F.when(k % 3 == 0, k).alias("x"), F.when(k % 3 == 1, prop("n", "n_name")).alias("y"))
+    return rows.withColumn("place", big(F.row_number().over(Window.orderBy(*mixed_order(("number", F.col("x")), ("text", F.col("y")))))))
+
+
+@query("select count(*) n from (select distinct [p_brand, p_type] l from part)")
+def distinct_lists(g, spark, d):
+    p = match(g, "p", "Part").return_(F.array(prop("p", "p_brand"), prop("p", "p_type")).alias("l"), distinct=True)
+    return p.agg(F.count("*").alias("n"))
+
+
+@query("select a.n_nationkey::bigint k, count(*) n from nation a join nation b on b.n_regionkey=a.n_regionkey group by 1")
+def call_subgraph_nodes(g, spark, d):
+    """Nations that reach one another through their region: two hops in either direction."""
+    two_way = Edges("IN", g.edges["IN_REGION"].df.select(F.concat(F.lit("n"), "n_nationkey").alias("s"), F.concat(F.lit("r"), "n_regionkey").alias("t")), "s", "t")
+    starts = g.nodes["Nation"].df.select(F.concat(F.lit("n"), "n_nationkey").alias("k"))
+    found = algorithms.call("subgraph_nodes", Graph("g").with_edges(two_way), "IN", starts, "k", direction="both", max_hops=2).filter(F.col("node").startswith("n"))
+    return found.groupBy(big(F.substring("source", 2, 10).cast("int")).alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""select o_orderkey, (o_orderdate + interval 14 month + interval 90061 second)::timestamp later, (hour(o_orderdate)*3600000000 + minute(o_orderdate)*60000000 + second(o_orderdate)*1000000)::bigint tod from orders""")
+def functions_duration(g, spark, d):
+    t = prop("o", "o_orderdate")
+    later = fn.plus_duration(t, fn.duration(F.lit("P1Y2M1DT1H1M1S")))
+    return match(g, "o", "Order").return_(F.col("o__key").alias("o_orderkey"), later.cast("timestamp_ntz").alias("later"), fn.time_of_day(F.date_format(t, "HH:mm:ss")).alias("tod"))
+
+
+@query("""select n_nationkey::bigint k, (date '1970-01-01' + n_nationkey*100)::date::varchar d, (timestamp '1970-01-01' + to_seconds(n_nationkey*86400*3)) t, (timestamp '2024-01-01 00:00:00' + to_days(n_nationkey)) u, (n_nationkey*60000000)::bigint m from nation""")
+def functions_temporal(g, spark, d):
+    k = F.col("n__key").cast("bigint")
+    text = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n__key").cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    clock = F.concat(F.lit("00:"), F.lpad(k.cast("string"), 2, "0"))
+    utc = lambda x: x.cast("timestamp_ntz")
+    return match(g, "n", "Nation").return_(k.alias("k"), fn.date_from_number(k * 100).cast("string").alias("d"), utc(fn.datetime_from_number(k * 86400 * 3)).alias("t"), utc(fn.datetime_from_text(text)).alias("u"), fn.time_of_day(clock).alias("m"))
+
+
+@query("select o_orderkey, (o_custkey // 7)::bigint q, (-o_custkey // 7)::bigint m from orders")
+def integer_division(g, spark, d):
+    c = prop("o", "o_custkey")
+    return match(g, "o", "Order").return_(F.col("o__key").alias("o_orderkey"), fn.divide(c, F.lit(7), True).alias("q"), fn.divide(-c, F.lit(7), True).alias("m"))
+
+
+@query("select {'name': r_name, 'size': length(r_name)}.name nm, length(r_name)::bigint sz from region")
+def map_literals(g, spark, d):
+    n = prop("r", "r_name")
+    m = F.struct(n.alias("name"), fn.size(n, "string").alias("size"))
+    return match(g, "r", "Region").return_(m["name"].alias("nm"), fn.call("coalesce", m["size"], F.lit(0)).alias("sz"))

@@ -84,6 +84,7 @@ class Registry:
             tuple(EdgeModel(e["type"], tuple(e["sources"]), tuple(e["targets"]), fields(e["fields"]), e["directed"]) for e in d["edges"]),
         )
 
+    # The codes below.
     def advise(self, nodes: list[tuple[str | None, list[str]]], edges: list[tuple[str, str | None, str | None, bool]]) -> list[tuple[str, str]]:
         """Codes and messages on a query's shape: nodes (label, properties), edges (type, source, target, directed)."""
         out: list[tuple[str, str]] = []
@@ -107,6 +108,28 @@ class Registry:
         return out
 
 
+#: Kinds of literals and the declared types that take them.
+_TAKES = {bool: {"boolean"}, int: {"bigint", "double", "timestamp", "date"}, float: {"double"}, str: {"string", "timestamp", "date"}}
+
+
+def type_mismatches(model: NodeModel, values: dict[str, object]) -> list[tuple[str, str]]:
+    """PROPERTY_TYPE_MISMATCH for each literal whose kind the declared type doesn't take."""
+    out = []
+    for f in model.fields:
+        v = values.get(f.name)
+        if v is not None and TYPES.get(f.type.upper()) not in (None, "variant") and type(v) in _TAKES and TYPES[f.type.upper()] not in _TAKES[type(v)]:
+            out.append(("PROPERTY_TYPE_MISMATCH", f"{model.label}.{f.name} is {f.type}, not {type(v).__name__}"))
+    return out
+
+
+def advise_pattern(registry: Registry, pattern) -> list[tuple[str, str]]:
+    """Advice on a pattern's labels, edge types and ends, taken from its variables."""
+    labels = {v: x for v, x in pattern._labels.items() if x}
+    nodes = [(x, []) for x in labels.values()]
+    edges = [(t, None, None, True) for _, types in pattern._edges for t in (types or "").split("|") if t]
+    return registry.advise(nodes, [(t.strip(), a, b, d) for t, a, b, d in edges])
+
+
 def violations(graph: Graph, model: NodeModel) -> DataFrame:
     """(constraint, field, rows): rows that break key, unique, not-null or vector-length constraints."""
     df, out = graph.nodes[model.label].df, None

@@ -56,6 +56,19 @@ def declare_edges(g: Graph, type_: str, df: DataFrame, src: str, dst: str, key:
     return g.with_edges(Edges(type_, df, src, dst, key, src_label, dst_label))
 
 
+def nodes_from_rows(rows: DataFrame, var: str, key: str, label: str) -> Nodes:
+    """A node table from result rows: the distinct values of the columns ``<var>__*``; ``key`` is one of them."""
+    head = f"{var}__"
+    columns = [c for c in rows.columns if c.startswith(head) and c.removeprefix(head) not in ("key", "labels")]
+    return Nodes(label, rows.select(*(F.col(c).alias(c.removeprefix(head)) for c in columns)).distinct(), key)
+
+
+def edges_from_rows(rows: DataFrame, source: str, target: str, type_: str, src_label: str | None = None, dst_label: str | None = None) -> Edges:
+    """An edge table from result rows: the distinct pairs of two variables' keys."""
+    pairs = rows.select(F.col(f"{source}__key").alias("src"), F.col(f"{target}__key").alias("dst")).filter("src is not null and dst is not null").distinct()
+    return Edges(type_, pairs, "src", "dst", (), src_label, dst_label)
+
+
 def from_frame(spark: SparkSession, data, schema=None) -> DataFrame:
     """pandas, Arrow or rows of dicts; NaN of pandas objects becomes null through Arrow."""
     return spark.createDataFrame(data, schema) if schema is not None else spark.createDataFrame(data)

@@ -61,6 +61,7 @@ def test_optional_keeps_null_starts(chain):
 
 def test_label_expressions():
     assert label_test("A|B", {"B"}) and label_test("A&!B", {"A"}) and not label_test("A&!B", {"A", "B"})
+    assert label_test("A|B&C", {"A"}) and label_test("(A|B)&!(C|D)", {"B"}) and not label_test("(A|B)&!(C|D)", {"B", "D"}) and label_test("odd label", {"odd label"}) and not label_test("A &", {"A"})
     assert label_test("%", set()) and label_test("!(A|B)", {"C"}) and label_test("A AND NOT B", {"A"})
 
 
@@ -108,8 +109,9 @@ def test_merge_edges(chain, spark):
 def test_graph_from_tables(spark):
     t = {"a": spark.createDataFrame([(1, 2)], "id int, b int"), "b": spark.createDataFrame([(2,)], "id int"), "ab": spark.createDataFrame([(1, 2, 3)], "a int, b int, w int")}
     g = graph_from_tables("g", t, {"a": "id", "b": "id"}, {"a": [("b", "b")], "ab": [("a", "a"), ("b", "b")]})
-    assert set(g.nodes) == {"a", "b"} and set(g.edges) == {"HAS_B", "AB"}
+    assert set(g.nodes) == {"a", "b"} and set(g.edges) == {"HAS_A", "AB"}
     assert match(g, "x", "a").to("AB", "y", "b").df.count() == 1
+    assert match(g, "y", "b").to("HAS_A", "x", "a").df.select("y__key", "x__key").first() == (2, 1)
 
 
 def test_functions_with_nulls_and_edges(spark):
@@ -155,3 +157,120 @@ def test_event_stream(spark, sf_dir, tmp_path):
     q = windowed_counts(read_events(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("event_counts").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("event_counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_paths_that_never_reach_the_lower_bound(chain):
+    for low, high in ((6, None), (5, 8), (4, 4)):
+        assert match(chain, "a", "Person").hops("knows", "b", low, high, path="p").df.count() == 0
+
+
+def test_edge_types_with_spaces_overlap(spark):
+    p = spark.createDataFrame([(1,), (2,)], "id long")
+    k = spark.createDataFrame([(1, 2)], "src long, dst long")
+    g = Graph("g").with_nodes(Nodes("P", p, "id")).with_edges(Edges("K", k, "src", "dst"), Edges("L", k, "src", "dst"))
+    assert match(g, "a", "P").edge(" K | L", "b").edge("K ", "a", src="b").df.count() == 2  # over L and back over K, from either side
+
+
+def test_merge_sets_new_properties_and_is_deterministic(chain, spark):
+    rows = spark.createDataFrame([(1, "Z"), (1, "B"), (9, "N")], "id long, name string").repartition(3)
+    g, counters = mutate.merge_nodes(chain, "Person", rows, on_create={"age": F.lit(1)}, on_match={"seen": F.lit(True)})
+    got = {r["id"]: (r["name"], r["age"], r["seen"]) for r in g.nodes["Person"].df.collect()}
+    assert got[1] == ("B", None, True) and got[9] == ("N", 1, None) and got[2] == ("Bob", None, None)
+    assert counters.first().asDict() == {"nodes_created": 1, "nodes_matched": 1, "properties_set": 4}
+
+
+def test_merge_edges_on_create_and_on_match(chain, spark):
+    g = mutate.merge_edges(chain, "knows", spark.createDataFrame([(1, 2), (4, 1)], "src long, dst long"), on_create={"w": F.lit("new")}, on_match={"w": F.lit("old")})
+    assert {(r["src"], r["dst"]): r["w"] for r in g.edges["knows"].df.collect()} == {(1, 2): "old", (2, 3): None, (3, 4): None, (4, 1): "new"}
+
+
+def test_counters_count_both_ways(chain, spark):
+    g = mutate.create_nodes(mutate.delete_nodes(chain, "Person", spark.createDataFrame([(4,)], "id long"), detach=True), "Person", spark.createDataFrame([(7,)], "id long"))
+    assert mutate.counters(chain, g) == {"nodes_created": 1, "nodes_deleted": 1, "relationships_created": 0, "relationships_deleted": 1}
+    assert mutate.counters(chain, chain)["nodes_created"] == 0
+
+
+def test_unbound_ends(chain, spark):
+    rows = spark.createDataFrame([(1, 4), (1, 99)], "a long, b long")
+    assert mutate.create_edges(chain, "knows", rows, "a", "b").edges["knows"].df.count() == 4
+    with pytest.raises(Exception, match="no Person 99"):
+        mutate.create_edges(chain, "knows", rows, "a", "b", unbound="refuse").edges["knows"].df.collect()
+
+
+def test_numbers_at_the_edges(spark):
+    r = spark.range(1).select(
+        fn.divide(F.lit(9007199254740993), F.lit(1), True).alias("d"), fn.divide(F.lit(-7), F.lit(2), True).alias("m"), fn.to_integer(F.lit("1e30")).alias("far"), fn.to_integer(F.lit("9007199254740993")).alias("exact"),
+        fn.to_integer(F.lit(-2.7)).alias("cut"), fn.regex_full(F.lit("abc\n"), "abc").alias("nl"), fn.regex_full(F.lit("abc"), "a|abc").alias("alt"),
+        fn.similarity(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(2.0))).alias("zero"),
+    ).first()
+    assert r.asDict() == {"d": 9007199254740993, "m": -3, "far": None, "exact": 9007199254740993, "cut": -2, "nl": False, "alt": True, "zero": None}
+
+
+def test_page_rank_of_nothing(spark):
+    none = spark.createDataFrame([], "id long")
+    g = Graph("g").with_nodes(Nodes("P", none, "id")).with_edges(Edges("K", spark.createDataFrame([], "a long, b long"), "a", "b"))
+    assert algorithms.page_rank(g, "P", "K").count() == 0
+
+
+def test_durations_and_times(spark):
+    r = spark.range(1).select(
+        fn.plus_duration(F.lit("2024-01-31 10:00:00").cast("timestamp"), fn.duration(F.lit("P1M"))).alias("m"), fn.plus_duration(F.lit("2024-03-01 00:00:00").cast("timestamp"), fn.duration(F.lit("-P1DT1S"))).alias("b"),
+        fn.duration(F.lit("soon")).alias("none"), fn.time_of_day(F.lit("10:35:00.5")).alias("t"), fn.time_of_day(F.lit("25:00")).alias("bad"), fn.datetime_from_text(F.lit("2024-02-03T04:05:06")).alias("d"), fn.datetime_from_text(F.lit("x")).alias("nd"),
+    ).first()
+    at = datetime.datetime
+    assert (r["m"], r["b"], r["none"], r["t"], r["bad"], r["d"], r["nd"]) == (at(2024, 2, 29, 10), at(2024, 2, 28, 23, 59, 59), None, 38_100_500_000, None, at(2024, 2, 3, 4, 5, 6), None)
+
+
+def test_parameters_must_be_given():
+    from hopgrid.operators.pattern import Parameters
+
+    with pytest.raises(ValueError, match="x"):
+        Parameters(y=1)("x")
+
+
+def test_explain_and_profile(chain):
+    p = match(chain, "a", "Person").to("knows", "b", "Person")
+    assert "Join" in p.explain() and "Parsed" in p.explain("extended")
+    rows = p.profile().collect()
+    assert any("Join" in r["operator"] for r in rows) and any(r["rows"] for r in rows) and rows[0]["step"] == 0
+
+
+def test_remove_label(spark):
+    t = spark.createDataFrame([(1,), (2,)], "id long")
+    g = Graph("g").with_nodes(Nodes("A", t, "id", ("B",)))
+    assert match(mutate.remove_label(g, "A", "B"), "v", "A&!B").df.count() == 2
+    some = mutate.remove_label(g, "A", "B", F.col("id") == 1)
+    assert match(some, "v", "B").df.count() == 1 and match(some, "v", "A").df.count() == 2
+    with pytest.raises(ValueError, match="no further label"):
+        mutate.remove_label(g, "A", "C")
+
+
+def test_type_mismatches_and_pattern_advice(chain):
+    from hopgrid.schema import advise_pattern, type_mismatches
+
+    model = NodeModel("Person", (Field("id", "INT", primary_key=True), Field("name")))
+    assert [c for c, _ in type_mismatches(model, {"id": "one", "name": "Ann"})] == ["PROPERTY_TYPE_MISMATCH"] and not type_mismatches(model, {"id": 1})
+    reg = Registry((model,), (EdgeModel("likes"),))
+    assert [c for c, _ in advise_pattern(reg, match(chain, "a", "Person").to("knows", "b"))] == ["UNKNOWN_RELATIONSHIP_TYPE"]
+
+
+def test_tables_open_when_used(spark):
+    opened_tables = []
+
+    def rows(name):
+        return lambda: opened_tables.append(name) or spark.range(3)
+
+    g = Graph("g").with_nodes(Nodes("A", rows("a"), "id"), Nodes("B", rows("b"), "id"))
+    assert match(g, "x", "A").df.count() == 3 and opened_tables == ["a"]
+
+
+def test_registered_sources_and_frames(spark):
+    import pandas as pd
+
+    from hopgrid.sources.tables import from_frame, read_uri, register_source
+
+    register_source("memory", lambda s, uri: s.range(int(uri.rpartition("/")[2])))
+    assert read_uri(spark, "memory://x/4").count() == 4
+    with pytest.raises(ValueError, match="no source"):
+        read_uri(spark, "nowhere://x")
+    assert from_frame(spark, pd.DataFrame({"a": [1, 2]})).count() == 2 and from_frame(spark, [{"a": 1}]).first()["a"] == 1
