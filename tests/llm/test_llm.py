@@ -481,6 +481,18 @@ def test_deduplicate_keeps_one(spark, docs):
 # -- token counts
 
 
+def plain_segmentations(word, pieces):
+    """Every segmentation of a short word: (log probability, tokens), pieces as a list."""
+    if not word:
+        return [(0.0, [])]
+    n = len(word[-1].encode())
+    out = [(s + n * pieces.byte, [*p, *[None] * n]) for s, p in plain_segmentations(word[:-1], pieces)]
+    for k in range(1, len(word) + 1):
+        if word[-k:] in pieces.place:
+            out += [(s + pieces.scores[pieces.place[word[-k:]]], [*p, word[-k:]]) for s, p in plain_segmentations(word[:-k], pieces)]
+    return out
+
+
 def plain_count(word, pieces):
     """Viterbi over one word by itself."""
     word = "▁" + word
@@ -488,25 +500,81 @@ def plain_count(word, pieces):
     for i in range(1, len(word) + 1):
         n = len(word[i - 1].encode())
         options = [(-(best[i - 1][0] + n * pieces.byte), best[i - 1][1] + n)]
-        options += [(-(pieces.score[word[j:i]] + best[j][0]), best[j][1] + 1) for j in range(i) if word[j:i] in pieces.score]
+        options += [(-(best[j][0] + pieces.scores[pieces.place[word[j:i]]]), best[j][1] + 1) for j in range(i) if word[j:i] in pieces.place]
         s, c = min(options)
         best.append((-s, c))
     return best[-1][1]
 
 
 def test_token_counts(spark, docs, none):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = token_counts.Pieces.load(path)
+    from hopgrid.llm.common import shared_dir
+
+    path, folder = public_tokenizers.path("piece_bpe_32k.model"), shared_dir(spark, "t")
+    pieces = token_counts._load(folder, token_counts.train(docs.select("doc_id", "text"), token_counts.vocabulary(path), folder))
     rows = [r.asDict() for r in docs.collect()]
+    # Training by the same rounds over one word at a time.
+    words, plain = Counter(w for r in rows for w in WORD.findall(r["text"] or "")), token_counts.Pieces(token_counts.vocabulary(path))
+    for _ in range(token_counts.ROUNDS):
+        total = np.zeros(len(plain.scores))
+        for w, n in words.items():
+            plain.expect_one("▁" + w, n, total)
+        plain = plain.trained(total)
+    assert np.allclose(pieces.scores, plain.scores, atol=1e-6)
     want = Counter((r["doc_id"], len(w), sum(plain_count(x, pieces) for x in w)) for r in rows for w in [WORD.findall(r["text"] or "")])
     assert Counter(map(tuple, token_counts.token_counts(docs, path).collect())) == want
     assert token_counts.token_counts(none, path).count() == 0
 
 
-def test_shared_prefixes_equal_single_words():
-    pieces = token_counts.Pieces(["▁", "a", "b", "ab", "▁ab", "aba", "bab", "▁abab"])
+def _few_pieces():
+    p = token_counts.Pieces(["▁", "a", "b", "ab", "▁ab", "aba", "bab", "▁abab"])
+    return token_counts.Pieces(p.pieces, np.round(np.log(np.random.RandomState(1).dirichlet(np.ones(9))), 6))
+
+
+def test_shared_prefixes_equal_single_words(monkeypatch):
     words = sorted({"".join(p) for n in range(1, 6) for p in __import__("itertools").product("abé", repeat=n)})
-    assert pieces.counts(words) == [plain_count(w, pieces) for w in words]
+    pieces = _few_pieces()
+    for size in (50_000, 7):
+        monkeypatch.setattr(token_counts, "WORDS", size)
+        assert pieces.counts(words).tolist() == [plain_count(w, pieces) for w in words] == [pieces.count_one("▁" + w) for w in words]
+
+
+def test_expectation_equals_all_segmentations():
+    words, pieces = sorted(["abab", "aba", "é", "babab", "abé", "a"]), _few_pieces()
+    n = np.arange(1.0, 7.0)
+    want = np.zeros(9)
+    for w, times in zip(words, n):
+        every = plain_segmentations("▁" + w, pieces)
+        total = sum(np.exp(s) for s, _ in every)
+        for s, p in every:
+            for x in p:
+                want[-1 if x is None else pieces.place[x]] += times * np.exp(s) / total
+    one = np.zeros(9)
+    for w, times in zip(words, n):
+        pieces.expect_one("▁" + w, times, one)
+    assert np.allclose(pieces.expected(words, n), want) and np.allclose(one, want)
+
+
+def test_each_prefix_is_one_node():
+    words = sorted(["ab", "abc", "abd", "b", "bcd"])
+    assert token_counts.Trie(["▁" + w for w in words], _few_pieces()).size == 1 + len({("▁" + w)[:i] for w in words for i in range(1, len(w) + 2)})
+
+
+def test_no_pieces_and_very_long_words():
+    none = token_counts.Pieces([])
+    assert none.counts(["a", "é"]).tolist() == [4, 5]  # the mark has three bytes
+    pieces = _few_pieces()
+    long = "ab" * 50_000
+    assert pieces.counts(sorted(["ab", long])).tolist() == [plain_count("ab", pieces), plain_count_long(long, pieces)]
+
+
+def plain_count_long(word, pieces):
+    word, best = "▁" + word, [(0.0, 0)]
+    for i in range(1, len(word) + 1):
+        options = [(-(best[i - 1][0] + len(word[i - 1].encode()) * pieces.byte), best[i - 1][1] + len(word[i - 1].encode()))]
+        options += [(-(best[j][0] + pieces.scores[pieces.place[word[j:i]]]), best[j][1] + 1) for j in range(max(0, i - 5), i) if word[j:i] in pieces.place]
+        s, c = min(options)
+        best.append((-s, c))
+    return best[-1][1]
 
 
 # -- fingerprints
