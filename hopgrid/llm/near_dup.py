@@ -10,7 +10,9 @@
 3. Links are confirmed on full sets in two rounds: each document's best candidate (most trees),
    then all candidates that still lie in different components.
 4. What neighbours may miss in a large region is done exactly: members outside its largest
-   component are compared with all members of other components, in bounded tiles.
+   component meet the members of other components with which they share one of their rarest shingles.
+   Of sets as similar as asked, the rarest n - ceil(share * n) + 1 shingles of each have one in common,
+   whatever order counts as rarest; boilerplate, which many share, comes last in it and costs nothing.
 
 At a similarity of 0.8 a pair shares a region with probability 1 - (1 - 0.8^4)^24, more than
 0.999996. A pair that shares one is never lost: no candidate list is cut without step 4.
@@ -31,53 +33,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folders_so_far, lower_ascii, materialize, release_since, words_of
+from .common import folders_so_far, hashed_words, materialize, mix64, open_fs, release_since, shared_dir, shingles
 
 TREES = 24
 DEPTH = 4
 VALUES = TREES * DEPTH
 SMALL = 8
 NEIGHBOURS = 3
-TILE = 256
+COUNTERS = 1 << 20
 BROADCAST_IDS = 1_000_000
-MEMO_WORDS = 300_000
 _A = (np.random.RandomState(7).randint(0, 1 << 31, VALUES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.RandomState(11).randint(0, 1 << 31, VALUES).astype(np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[str, int] = {}
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words, through the worker's bounded memo."""
-    found = list(map(_WORDS.get, words))
-    if None in found:
-        if len(_WORDS) > MEMO_WORDS:
-            _WORDS.clear()
-        for i, got in enumerate(found):
-            if got is None:
-                found[i] = _WORDS[words[i]] = xxhash.xxh3_64_intdigest(words[i].encode())
-    return np.array(found, np.uint64)
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of the lower-cased text."""
-    words = words_of(lower_ascii(text)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h, k = word_hashes(words), min(k, len(words))
-    n = len(h) - k + 1
-    with np.errstate(over="ignore"):
-        out = np.full(n, k, np.uint64)
-        for i in range(k):
-            out = mix64(out * _P + h[i : i + n])
-    return np.unique(out)
+
+
+def shingle_sets(column, k: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each lower-cased text."""
+    h, n = shingles(*hashed_words(column), k)
+    ends = np.cumsum(n)
+    return [np.unique(h[e - m : e]) for e, m in zip(ends.tolist(), n.tolist())]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -102,7 +76,7 @@ def _sketch(k: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
+                sets = shingle_sets(batch.column("text"), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
                 cid: list = [b""] * len(sets)
@@ -212,16 +186,40 @@ def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return x.filter(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
 
 
-def _tile(percent: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Links between outsiders (left) and members of other components (right)."""
-        out = []
-        rows = [(n, c, np.frombuffer(s, np.uint64)) for n, c, s in zip(*(right.column(x).to_pylist() for x in ("node", "comp", "set")))]
-        for n, c, s in zip(*(left.column(x).to_pylist() for x in ("node", "comp", "set"))):
-            s = np.frombuffer(s, np.uint64)
-            out += [(min(n, m), max(n, m)) for m, d, t in rows if d != c and similar(s, t, percent)]
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold a shingle of each of COUNTERS hash groups."""
+    n = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for s in b.column("set"):
+            n += np.bincount((np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["k", "n"])
+
+
+_ORDER: dict[str, np.ndarray] = {}
+
+
+def _rarest(folder: str, name: str, percent: int):
+    """The rarest shingles of each set, as many as two similar sets can't both be without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _ORDER:
+            _ORDER.clear()
+            fs, root = open_fs(folder)
+            with fs.open_input_file(f"{root}/{name}") as f:
+                _ORDER[name] = np.frombuffer(f.read(), "<i8")
+        counts = _ORDER[name]
+        for b in batches:
+            out, sizes = [], []
+            for x in b.column("set"):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                rank = np.lexsort((s, counts[(s >> np.uint64(44)).astype(np.int64)]))
+                out.append(s[rank[: len(s) + 1 - -(-percent * len(s) // 100)]])
+                sizes.append(len(s))
+            each = np.array([len(x) for x in out])
+            repeat = lambda c: pa.array(np.repeat(c, each))
+            rows = [pa.array(np.concatenate(out).view(np.int64)) if out else pa.array([], pa.int64()), *(repeat(b.column(c).to_numpy()) for c in ("node", "comp")), pa.array(np.repeat(b.column("outside").to_numpy(zero_copy_only=False), each)), repeat(np.array(sizes, np.int64))]
+            yield pa.RecordBatch.from_arrays(rows, names=["shingle", "node", "comp", "outside", "n"])
 
     return run
 
@@ -230,21 +228,32 @@ def _rest(big: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> Da
     """Exact links that neighbours may have missed in large regions; None if no region holds two components."""
     rows = big.join(comps, "node", "left").select("region", "node", F.coalesce("comp", "node").alias("comp"))
     per = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size")).filter("comps > 1")
-    main = materialize(main.select("region", F.col("top.comp").alias("main"), F.expr(f"(size - top.n + {TILE - 1}) div {TILE}").alias("lefts"), F.expr(f"(size + {TILE - 1}) div {TILE}").alias("rights")), "mixed-regions")
+    main = per.groupBy("region").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+    main = materialize(main.select("region", F.col("top.comp").alias("main")), "mixed-regions")
     if main.isEmpty():
         return None
-    rows = materialize(rows.join(main, "region").withColumn("h", F.xxhash64("node", "region")), "mixed-members")
-    outs = rows.filter("comp <> main")
-    few = materialize(sets.join(rows.select("node").distinct(), "node", "left_semi"), "mixed-sets")
-    part = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    left = outs.withColumn("i", part("lefts")).withColumn("j", every("rights"))
-    right = rows.withColumn("j", part("rights")).withColumn("i", every("lefts"))
-    left, right = (x.select("region", "i", "j", "node", "comp").join(few, "node") for x in (left, right))
-    key = ["region", "i", "j"]
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own beside left's
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(percent), "a long, b long").distinct()
+    members = rows.join(main, "region").groupBy("node", "comp").agg(F.max((F.col("comp") != F.col("main"))).alias("outside"))
+    members = materialize(members.join(sets, "node"), "mixed-members")
+    folder = shared_dir(big.sparkSession, "rarest")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            n[b.column("k").to_numpy()] = b.column("n").to_numpy()
+        fs, root = open_fs(folder)
+        with fs.open_output_stream(f"{root}/counters", compression=None) as f:
+            f.write(n.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(["counters"])], names=["file"])
+
+    # COUNTERS rows at most go to one task.
+    totals = members.select("set").mapInArrow(_counters, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    name = totals.repartition(1).mapInArrow(write, "file string").first()["file"]
+    rare = materialize(members.mapInArrow(_rarest(folder, name, percent), "shingle long, node long, comp long, outside boolean, n long"), "rarest")
+    left, right = rare.filter("outside"), rare.select("shingle", *(F.col(c).alias(f"r_{c}") for c in ("node", "comp", "n")))
+    fits = F.lit(100) * F.least("n", "r_n") >= F.lit(percent) * F.greatest("n", "r_n")
+    met = left.join(right, "shingle").filter((F.col("comp") != F.col("r_comp")) & fits)
+    pairs = materialize(met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct(), "pairs-3")
+    return confirmed(pairs, members.select("node", "set"), percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -266,7 +275,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            sets = shingle_sets(batch.column("text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     wanted = materialize(wanted.select(F.col("node").alias("doc_id")), "set-nodes")
@@ -302,10 +311,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with its own columns.
 
-    Repeated rows of a kept doc_id leave one row; rows without doc_id are kept.
+    Repeated rows of a kept doc_id leave one row; of rows without doc_id one stays for each text that
+    no row with a doc_id has.
     """
     mark = folders_so_far()
     kept = materialize(near_duplicates(docs, shingle, percent).filter("kept").select("doc_id").distinct(), "kept-ids")
     release_since(docs.sparkSession, mark, kept)
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
+    known = docs.filter("doc_id is not null").select(F.xxhash64("text").alias("_h"), F.col("text").alias("_t")).distinct()
+    rest = docs.filter("doc_id is null").dropDuplicates(["text"])
+    return out.unionByName(rest.join(known, (F.xxhash64("text") == F.col("_h")) & F.col("text").eqNullSafe(F.col("_t")), "left_anti"))

@@ -472,6 +472,30 @@ def test_near_duplicate_families(spark):
     assert got == {x["doc_id"]: c for x, (_, c) in zip(rows, components(rows, 4, 80))}
 
 
+def test_boilerplate_that_does_not_link(spark, monkeypatch):
+    """A large region of pages that share 60 to 75 % of their text, among them a few true links: the exact rest finds
+    all of them, by few comparisons."""
+    r, rows, base = np.random.RandomState(8), [], [f"b{i}" for i in range(70)]
+    for i in range(260):
+        rows.append({"doc_id": i, "text": " ".join(base + [f"own{i}_{j}" for j in range(r.randint(24, 45))])})
+    for i in range(0, 40, 4):  # a link: one word of the last changed
+        words = rows[i]["text"].split()
+        words[-2] = "other"
+        rows.append({"doc_id": len(rows), "text": " ".join(words)})
+    met, old = [], near_dup.confirmed
+    monkeypatch.setattr(near_dup, "confirmed", lambda pairs, sets, percent: met.append(pairs.count()) or old(pairs, sets, percent))
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", 1)
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(spark.createDataFrame(rows).repartition(5), 4).collect()}
+    assert got == {x["doc_id"]: c for x, (_, c) in zip(rows, components(rows, 4, 80))} and sum(c != i for i, c in got.items()) == 10
+    assert len(met) == 3 and met[2] < 3 * len(rows)  # all pairs would be some 30 000
+
+
+def test_rows_without_id_are_kept_once(spark):
+    rows = [(1, "one two three four five"), (None, "one two three four five"), (None, "six"), (None, "six"), (None, None), (None, None), (2, "seven")]
+    got = near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "one two three four five"), (None, "six"), (None, None), (2, "seven")])
+
+
 def test_deduplicate_keeps_one(spark, docs):
     out = near_dup.deduplicate(docs)
     ids = [r["doc_id"] for r in out.collect()]
