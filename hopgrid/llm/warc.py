@@ -4,10 +4,14 @@ The writer makes one gzip member per record. Of records with equal payloads of a
 ``min_bytes`` bytes, that with the largest page_id is the response and the others are revisits
 that refer to it. Files are named by task attempt and listed in a manifest of successful tasks.
 
-The reader takes plain or gzipped archives. Every record is checked (member checksum, version line,
-headers, length, trailing lines, payload digest). Where a check fails, it searches for the next
-gzip member or version line that starts a valid record, goes on there, and logs the bytes between
-as a quarantined gap. Memory is bounded by the largest record, not by the archive.
+The reader takes plain and gzipped archives, and files that hold both: the bytes at each place tell
+which. Every record is checked (member checksum, version line, headers, length, trailing lines,
+payload digest). Where a check fails, it searches for the next gzip member or version line that
+starts a valid record, goes on there, and logs the bytes between as a quarantined gap. The next place
+of each mark is remembered until it is passed, so a file is searched once, however much of it is
+damaged. Members are inflated as their records are read: records of a damaged member whose payload
+digest holds are kept, others wait for the member's checksum. Memory is bounded by the largest record
+(MAX_RECORD; a longer one counts as damaged), not by the archive or its members.
 
 Defined cases: null html is an empty payload (a response); null page_id counts as smaller than
 any; equal rows that tie for the largest page_id are all responses; a null url gives no target
@@ -34,6 +38,7 @@ FILE_BYTES = 64 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _STEP = 1 << 14
+MAX_RECORD = 1 << 31
 _HEADER_LIMIT = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -107,7 +112,7 @@ class Damaged(Exception):
 
 
 class _Window:
-    """Random reads of a file through one buffer."""
+    """Reads of a file through one buffer, mostly forward."""
 
     def __init__(self, f, size: int):
         self.f, self.size, self.at, self.buf = f, size, 0, b""
@@ -121,21 +126,42 @@ class _Window:
         return self.buf[at - self.at : at - self.at + n]
 
 
-def member(win: _Window, at: int) -> tuple[bytes, int]:
-    """Bytes of the gzip member at ``at`` and its end."""
-    if win.get(at, 3) != _MAGIC:
-        raise Damaged("no gzip member")
-    z, out = zlib.decompressobj(31), []
-    while not z.eof:
-        chunk = win.get(at, _STEP)
-        if not chunk:
-            raise Damaged("cut gzip member")
-        try:
-            out.append(z.decompress(chunk))
-        except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
-        at += len(chunk)
-    return b"".join(out), at - len(z.unused_data)
+class _Inflated:
+    """The bytes of the gzip member at ``at``, inflated as they are asked for; what lies before ``forget`` is dropped."""
+
+    def __init__(self, win: "_Window", at: int):
+        self.win, self.place, self.z = win, at, zlib.decompressobj(31)
+        self.base, self.buf, self.error, self.done = 0, bytearray(), None, False
+
+    @property
+    def size(self) -> float:
+        return self.base + len(self.buf) if self.done else float("inf")
+
+    @property
+    def end(self) -> int:
+        """Place in the file up to which the member has been read; its end once it is done."""
+        return self.place - len(self.z.unused_data) - len(self.z.unconsumed_tail)
+
+    def get(self, at: int, n: int) -> bytes:
+        while not self.done and self.base + len(self.buf) < at + n:
+            chunk = self.z.unconsumed_tail or self.win.get(self.place, _STEP)
+            if not self.z.unconsumed_tail:
+                self.place += len(chunk)
+            if not chunk:
+                self.error, self.done = "cut gzip member", True
+                break
+            try:
+                self.buf += self.z.decompress(chunk, 1 << 20)
+            except zlib.error as e:
+                self.error, self.done = f"gzip: {e}", True
+            self.done = self.done or self.z.eof
+        return bytes(self.buf[at - self.base : at - self.base + n])
+
+    def forget(self, at: int) -> None:
+        cut = min(at - self.base, len(self.buf))
+        if cut > 1 << 16 or cut == len(self.buf):
+            del self.buf[:cut]
+            self.base += cut
 
 
 def parse(win: _Window, at: int, verify: bool = True) -> tuple[dict[str, str], bytes, int]:
@@ -158,6 +184,8 @@ def parse(win: _Window, at: int, verify: bool = True) -> tuple[dict[str, str], b
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")
     start = at + end + 4
+    if int(length) > MAX_RECORD:
+        raise Damaged("record is too long")
     if start + int(length) > win.size:
         raise Damaged("record is cut")
     block = win.get(start, int(length) + 4)
@@ -177,62 +205,113 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-class _Bytes:
-    def __init__(self, data: bytes):
-        self.size, self.data = len(data), data
+class _Marks:
+    """The next place of each mark in a file, searched for once."""
 
-    def get(self, at: int, n: int) -> bytes:
-        return self.data[at : at + n]
+    def __init__(self, win, *marks: bytes):
+        self.win, self.next = win, {m: -1 for m in marks}
 
+    def after(self, at: int) -> int:
+        """The next place of any mark from ``at`` on; the end of the file if there is none."""
+        for mark, found in self.next.items():
+            if found < at:
+                self.next[mark] = _find(self.win, at, mark)
+        return min(self.next.values())
 
-def _next(win, at: int, mark: bytes) -> int:
-    """Place of the next ``mark`` from ``at`` on; the end of the file if there is none."""
-    while at < win.size:
-        piece = win.get(at, 1 << 20)
+
+def _find(win, at: int, mark: bytes) -> int:
+    """Place of the next ``mark`` from ``at`` on; where the bytes end if there is none."""
+    while piece := win.get(at, 1 << 20):
         if (k := piece.find(mark)) >= 0:
             return at + k
-        at += max(1, len(piece) - len(mark) + 1)
-    return win.size
+        if len(piece) < len(mark):
+            return at + len(piece)
+        at += len(piece) - len(mark) + 1
+        if isinstance(win, _Inflated):
+            win.forget(at)
+    return at
+
+
+def _checked(headers: dict[str, str]) -> bool:
+    """Whether ``parse`` has checked the payload against a digest."""
+    return headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").startswith("sha1:")
+
+
+def _member(win: _Window, at: int, verify: bool) -> Iterator[tuple]:
+    """Records and inner gaps of the gzip member at ``at``, then ("end", place in the file, error or None)."""
+    inner, waiting, k, lost = _Inflated(win, at), [], 0, None
+    while inner.get(k, 1):
+        try:
+            headers, block, end = parse(inner, k, verify)
+        except Damaged as e:
+            if inner.error and inner.size == inner.base + len(inner.buf) and _find(inner, k + 1, _VERSION) >= inner.size:
+                break  # the damage itself
+            lost = lost or (k, str(e))
+            k = _find(inner, k + 1, _VERSION)
+            continue
+        if lost:
+            waiting.append(("gap", at, inner.end, f"inside member, bytes {lost[0]}-{k}: {lost[1]}", None))
+            lost = None
+        item = ("record", at, inner.end, headers, block)
+        if verify and _checked(headers):
+            yield item
+        else:
+            waiting.append(item)
+        k = end
+        inner.forget(k)
+    if inner.error is None:
+        if lost:
+            waiting.append(("gap", at, inner.end, f"inside member, bytes {lost[0]}-{k}: {lost[1]}", None))
+        yield from waiting
+    yield "end", inner.end, inner.error, None, None
 
 
 def salvage(win: _Window, verify: bool = True) -> Iterator[tuple]:
     """("record", start, end, headers, block) and ("gap", start, end, reason, None), in file order."""
     at, bad, why = 0, None, ""
-    gz = win.get(0, 2) == _MAGIC[:2]
+    marks = _Marks(win, _MAGIC, _VERSION)
+
+    def gap(end: int) -> tuple:
+        return "gap", bad, end, why, None
+
     while at < win.size:
-        try:
-            if gz or win.get(at, 3) == _MAGIC:
-                data, end = member(win, at)
-                inner, found, lost = _Bytes(data), [], []
-                k = 0
-                while k < len(data):
-                    try:
-                        headers, block, k2 = parse(inner, k, verify)
-                        found.append((headers, block))
-                    except Damaged as e:
-                        k2 = _next(inner, k + 1, _VERSION)
-                        if not lost or lost[-1][1] != k:
-                            lost.append([k, k2, str(e)])
-                        lost[-1][1] = k2
-                    k = k2
-                if not found:
-                    raise Damaged(lost[0][2] if lost else "empty member")
-                got = [("record", at, end, h, b) for h, b in found] + [("gap", at, end, f"inside member, bytes {a}-{b}: {e}", None) for a, b, e in lost]
-            else:
+        error = None
+        if win.get(at, 3) == _MAGIC:
+            found = 0
+            for item in _member(win, at, verify):
+                if item[0] == "end":
+                    end, error = item[1], item[2]
+                    continue
+                if item[0] == "gap" and not found:
+                    error = item[3]  # so far no record: the member may be one gap
+                    continue
+                if bad is not None:
+                    yield gap(at)
+                    bad = None
+                found, error = found + 1, None
+                yield item
+            if not found and error is None:
+                error = "empty member"
+            if error and found:
+                error = f"{error}, after {found} records of the member"
+        else:
+            try:
                 headers, block, end = parse(win, at, verify)
-                got = [("record", at, end, headers, block)]
-        except Damaged as e:
+            except Damaged as e:
+                error = str(e)
+            else:
+                if bad is not None:
+                    yield gap(at)
+                    bad = None
+                yield "record", at, end, headers, block
+        if error:
             if bad is None:
-                bad, why = at, str(e)
-            at = min(_next(win, at + 1, _MAGIC), _next(win, at + 1, _VERSION)) if not gz else _next(win, at + 1, _MAGIC)
-            continue
-        if bad is not None:
-            yield "gap", bad, at, why, None
-            bad = None
-        yield from got
-        at = end
+                bad, why = at, error
+            at = marks.after(at + 1)
+        else:
+            at = end
     if bad is not None:
-        yield "gap", bad, win.size, why, None
+        yield gap(win.size)
 
 
 _READ = "file string, kind string, start long, end long, reason string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -282,6 +361,13 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = True) -> D
     return files.select("file").repartition(min(n, 100_000)).mapInArrow(run, _READ)
 
 
+def checked_revisits(read: DataFrame) -> DataFrame:
+    """``read`` with ``refers_ok``: whether a revisit's digest is that of the response it refers to; null where that isn't in the archives."""
+    response = read.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("_page")).agg(F.collect_set("payload_digest").alias("_digests"))
+    both = read.join(response, F.when(F.col("record_type") == "revisit", F.col("refers_to")) == F.col("_page"), "left")
+    return both.withColumn("refers_ok", F.array_contains("_digests", F.col("payload_digest"))).drop("_page", "_digests")
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write all pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = shared_dir(spark, "warc")

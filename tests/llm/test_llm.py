@@ -141,6 +141,61 @@ def test_salvage(gz):
     assert _salvage(b"") == ([], []) and _salvage(b"nothing here") == ([], [(0, 12)])
 
 
+def test_salvage_of_neighbouring_damage_and_mixed_files():
+    records = _records()
+    parts = [warc.gzip_member(r) if i % 2 else r for i, r in enumerate(records)]
+    whole, at = b"".join(parts), np.cumsum([0, *map(len, parts)])
+    assert _salvage(whole) == ([0, 1, 2, 3, 4, 5], [])
+    broken = bytearray(whole)
+    for k in (1, 2, 4):
+        broken[at[k] + len(parts[k]) // 2] ^= 0xFF
+    got, gaps = _salvage(bytes(broken))
+    assert got == [0, 3, 5] and [g[0] for g in gaps] == [at[1], at[4]]
+
+
+def test_salvage_inside_one_member():
+    records = _records()
+    one = warc.gzip_member(b"".join(records))
+    assert _salvage(one) == ([0, 1, 2, 3, 4, 5], [])
+    inner = bytearray(b"".join(records))
+    inner[len(records[0]) + len(records[1]) - 30] ^= 0xFF  # the second record, before compression
+    got, gaps = _salvage(warc.gzip_member(bytes(inner)))
+    assert got == [0, 2, 3, 4, 5] and len(gaps) == 1
+    noise = [warc.record("response", i, None, np.random.RandomState(i).bytes(30_000), hashlib.sha1(np.random.RandomState(i).bytes(30_000)).hexdigest(), None, "2000-01-01T00:00:00Z") for i in range(4)]
+    big = warc.gzip_member(b"".join(noise))
+    got, gaps = _salvage(big[: len(big) * 5 // 8])  # cut within the third record: those before it are whole
+    assert got == [0, 1] and gaps == [(0, len(big) * 5 // 8)]
+
+
+def test_salvage_takes_linear_time():
+    import time
+
+    def took(n):
+        payload = b"x" * 2000
+        records = [bytearray(warc.record("response", i, None, payload, hashlib.sha1(payload).hexdigest(), None, "2000-01-01T00:00:00Z")) for i in range(n)]
+        for r in records[::2]:
+            r[-50] ^= 0xFF
+        data = b"".join(records)
+        began = time.process_time()
+        assert len(_salvage(data)[0]) == n // 2
+        return time.process_time() - began
+
+    took(100)
+    assert took(4000) < 12 * max(took(1000), 0.02)
+
+
+def test_revisits_are_checked(spark):
+    rows = [(1, "response", "a", None), (2, "revisit", "a", 1), (3, "revisit", "b", 1), (4, "revisit", "a", 9), (None, "response", "a", None)]
+    read = spark.createDataFrame(rows, "page_id long, record_type string, payload_digest string, refers_to long")
+    assert Counter((r["page_id"], r["refers_ok"]) for r in warc.checked_revisits(read).collect()) == Counter([(1, None), (2, True), (3, False), (4, None), (None, None)])
+
+
+def test_equal_rows_that_tie_are_all_responses(spark):
+    big = "<p>" + "tie " * 400
+    df = spark.createDataFrame([(5, "u", big), (5, "u", big), (4, "u", big)], "page_id long, url string, html string")
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark, df).collect()) == Counter([(5, "response", None), (5, "response", None), (4, "revisit", 5)])
+
+
 def test_encoder_on_letters_that_change_when_lowered():
     """Every character whose lower case has another length or class, composes, or is white space; and special tokens."""
     import unicodedata
