@@ -2,15 +2,16 @@
 
 Each source's words are packed, in a fixed document order, into blocks of ``block`` words. A
 source's target is turned into block slots: whole passes over its blocks, then part of one more
-pass, whose last slot is cut so that the words taken equal the rounded target. Slots of all
-sources are dealt to positions of the output shards through one pseudorandom permutation: the
-source counts of a shard follow the multinomial law given the sources' totals (a free draw could
-pass a source's cap). Each piece goes to the shard and position of its slot; the mix is written so. Within a source, slots are mapped to blocks by a permutation of its own for
-each pass, and blocks are joined with the documents by index: the mix is the pieces of documents
-that lie in the blocks taken.
+pass, whose last slot is cut so that the words taken equal the rounded target. Which sources the
+slots of an output shard come from is drawn: a shard's source counts are multinomial given how many
+slots each source has in all (a free draw could pass a source's cap), drawn without replacement by
+one pseudorandom permutation of all slots. The counts are written; a source's shards then take its
+slots in turn, and its slots are mapped to its blocks by a permutation of its own for each pass.
+Blocks are joined with the documents by index: the mix is the pieces of documents that lie in the
+blocks taken, shard by shard, in a drawn order within each.
 
-Prefix sums have two levels (hashed chunks, then chunk totals), so no source is gathered in one
-task. Everything depends on the rows and the seed only; reruns agree.
+Prefix sums have two levels (chunks or ranges, then their totals), so neither a source nor the list of
+sources is gathered in one task. Everything depends on the rows and the seed only; reruns agree.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; sizes 0
 take 0; repeated rows are separate documents; an empty table gives no rows; other columns are ignored.
@@ -29,6 +30,7 @@ WEIGHTS = (3, 1, 2)
 CHUNK_ROWS = 512
 MOST_CHUNKS = 20_000
 SLOT_RUN = 2048
+SHARD_RUN = 1024
 ROUNDS = 3
 #: A word and the white space after it; the first word of a text also has that before it.
 SPACED_WORD = r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"
@@ -48,25 +50,38 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def _running(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """``df`` plus ``<value>_before``: the sum of each value over the rows before, in the order given.
+
+    Ranges of the order are summed by themselves; only one row a range is ordered in one task.
+    """
+    n = conf_int(df.sparkSession, "spark.sql.shuffle.partitions", 200)
+    placed = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values))
+    base = sums.select("_part", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(base), "_part")  # one row a range
+    return out.withColumns({f"{v}_before": F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).drop("_part", *(f"_{v}" for v in values))
+
+
 def targets(sizes: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per source: source_size, target. Sources are few beside their rows; only their sums are ordered.
+    """One row per source: source_size, target.
 
     Targets are ``min(most * size, weight * level)`` with the level that shares ``ratio`` of all
     words: the fixed point of resharing the excess by weight.
     """
-    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("skey") == "", "skey")
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
-    per = per.select("skey", "source_size", w.alias("w")).withColumns({"cap": F.col("source_size") * F.lit(float(most)), "r": F.col("source_size") * F.lit(float(most)) / F.col("w")})
-    order = Window.orderBy("r", "skey")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    total = F.sum("source_size").over(everything) * F.lit(float(ratio))
-    level = (total - zero(F.sum("cap").over(upto))) / (F.sum("w").over(everything) - zero(F.sum("w").over(upto)))
-    per = per.withColumn("own", level).withColumn("full", F.col("r") <= F.col("own"))
-    per = per.withColumn("level", F.min(F.when(~F.col("full"), F.struct("r", "skey", "own"))).over(everything)["own"])
-    return per.select("skey", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.col("level")).alias("target"))
+    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    named = _running(per, [(F.col("skey") == "").asc(), F.col("skey").asc()], ["one"])
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.pmod(F.col("one_before").cast("int"), F.lit(len(weights))) + 1)
+    named = named.select("skey", "source_size", w.alias("w")).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("r", F.col("cap") / F.col("w"))
+    per = materialize(_running(named, [F.col("r").asc(), F.col("skey").asc()], ["cap", "w"]), "mix-levels")
+    whole = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    own = (F.lit(whole["words"] * float(ratio)) - F.col("cap_before")) / (F.lit(float(whole["w"])) - F.col("w_before"))
+    per = per.withColumn("own", own).withColumn("full", F.col("r") <= F.col("own"))
+    found = per.filter(~F.col("full")).agg(F.min(F.struct("r", "skey", "own")).alias("x")).first()["x"]  # one row
+    level = F.lit(found["own"] if found else 0.0)
+    return per.select("skey", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * level).alias("target"))
 
 
 def _stirred(x: Column, a: Column, b: Column, keys: list[Column], salt: str) -> Column:
@@ -97,24 +112,44 @@ def permuted(df: DataFrame, index: str, n: str, keys: list[str], out: str, seed:
     return df.withColumn(out, _stirred(F.col(out), F.col("_a"), F.col("_b"), cols, f"{seed}2")).drop("_a", "_b")
 
 
-def slots(sources: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
-    """One row per output slot: skey, pass, block_no, words (from the block's start), whole, shard, position."""
-    b = F.lit(block)
+def wanted(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """Sources with a target, and their passes, blocks and slots."""
     s = sources.withColumn("take", F.round("target").cast("long")).filter("take > 0")
-    s = s.withColumns({"passes": F.expr("take div source_size"), "rem": F.expr("take % source_size"), "n_full": F.expr(f"source_size div {block}"), "tail": F.col("source_size") % b})
+    s = s.withColumns({"passes": F.expr("take div source_size"), "rem": F.expr("take % source_size"), "n_full": F.expr(f"source_size div {block}"), "tail": F.col("source_size") % block})
     s = s.withColumn("n_blocks", F.col("n_full") + (F.col("tail") > 0).cast("long"))
-    s = s.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.expr(f"rem div {block}") + (F.col("rem") % b > 0).cast("long"))
-    before = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"first": F.coalesce(F.sum("n_slots").over(before), F.lit(0)), "all_slots": F.sum("n_slots").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return s.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.expr(f"rem div {block}") + (F.col("rem") % block > 0).cast("long"))
+
+
+def drawn(sources: DataFrame, seed: str = "mix") -> DataFrame:
+    """The draw: (skey, shard, n), how many slots of a shard come from a source. ``sources`` as ``wanted`` gives them.
+
+    Every slot has a ticket, its place in a permutation of all slots; tickets are dealt to shards in order.
+    """
+    s = _running(sources.select("skey", "n_slots"), [F.col("skey").asc()], ["n_slots"])
+    every = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
     s = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {SLOT_RUN}"))))
     tasks = conf_int(sources.sparkSession, "spark.sql.shuffle.partitions", 200)
     s = s.repartition(tasks, "skey", "run").withColumn("t", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("n_slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
-    s = s.withColumns({"pass": F.expr("t div n_blocks"), "j": F.col("t") % F.col("n_blocks"), "global": F.col("first") + F.col("t")})
+    s = permuted(s.select("skey", (F.col("n_slots_before") + F.col("t")).cast("long").alias("ticket"), F.lit(every).cast("long").alias("every")), "ticket", "every", [], "place", f"{seed}-place")
+    return s.groupBy("skey", F.expr(f"place div {SHARD_SLOTS}").alias("shard")).agg(F.count("*").alias("n"))
+
+
+def slots(sources: DataFrame, block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
+    """One row per output slot: skey, pass, block_no, words (from the block's start), whole, shard, position."""
+    b, s = F.lit(block), materialize(wanted(sources, block), "mix-wanted")
+    draw = materialize(drawn(s, seed), "mix-draw").withColumn("chunk", F.expr(f"shard div {SHARD_RUN}"))
+    # A source's shards take its slots in turn: sums before, by chunks of shards and within them.
+    before = lambda *by: Window.partitionBy("skey", *by).orderBy("shard" if by else "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = draw.groupBy("skey", "chunk").agg(F.sum("n").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before()), F.lit(0))).drop("sum")
+    turn = draw.withColumn("inner", F.coalesce(F.sum("n").over(before("chunk")), F.lit(0))).join(chunks, ["skey", "chunk"]).withColumn("first", F.col("base") + F.col("inner"))
+    s = turn.select("skey", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("t")).join(s, "skey")
+    s = s.withColumns({"pass": F.expr("t div n_blocks"), "j": F.col("t") % F.col("n_blocks")})
     s = permuted(s, "j", "n_full", ["skey", "pass"], "block_no", f"{seed}-block")
-    s = permuted(s, "global", "all_slots", [], "place", f"{seed}-place")
     room = F.when(F.col("block_no") < F.col("n_full"), b).otherwise(F.col("tail"))
     words = F.when(F.col("pass") < F.col("passes"), room).otherwise(F.least(room, F.col("rem") - F.col("j") * b))
-    return s.withColumn("words", words).select("skey", F.col("pass"), "block_no", "words", (F.col("words") == room).alias("whole"), F.expr(f"place div {SHARD_SLOTS}").alias("shard"), (F.col("place") % SHARD_SLOTS).alias("position"))
+    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(f"{seed}-order"), "skey", "t"), "skey", "t")  # SHARD_SLOTS rows
+    s = s.withColumns({"words": words, "position": (F.row_number().over(order) - 1).cast("long")})
+    return s.select("skey", F.col("pass"), "block_no", "words", (F.col("words") == room).alias("whole"), "shard", "position")
 
 
 def packed(sizes: DataFrame) -> DataFrame:

@@ -415,11 +415,83 @@ def test_mixing_reruns_agree_and_blocks_are_dealt(spark):
     assert s.groupby("skey").words.sum().to_dict() == want
 
 
+def plain_permuted(x, n, keys, seed):
+    """The permutation with Python numbers; Spark's xxhash64 takes 4 bytes of an int, 8 of a long, the bytes of a text."""
+    import math
+
+    import xxhash
+
+    def hashed(salt, k, other):
+        h = 42
+        for v in (salt.encode(), int(k).to_bytes(4, "little"), int(other).to_bytes(8, "little"), *(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little") for v in keys)):
+            h = xxhash.xxh64(v, seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    a = max(1, math.isqrt(n))
+    b = max(1, n // a)
+
+    def stirred(x, salt):
+        if x >= a * b:
+            return x
+        left, right = divmod(x, b)
+        for k in range(2 * mixing.ROUNDS):
+            if k % 2 == 0:
+                left = (left + hashed(salt, k, right) % a) % a
+            else:
+                right = (right + hashed(salt, k, left) % b) % b
+        return left * b + right
+
+    x = stirred(x, f"{seed}1")
+    return stirred((x + n // 2) % n if x < n else x, f"{seed}2")
+
+
+def test_taken_equals_the_plain_mix(spark):
+    """Every document's words taken, from slots, permutations and packed blocks written down in plain Python."""
+    rows = [(i, ["a", "b", "ü", None][i % 7 % 4], " ".join("w" * (i * 13 % 90))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    placed, sources, pieces = mixing._mix(df, 16, "mix")
+    want, order = Counter(), {}
+    for r in sorted(placed.collect(), key=lambda r: r["start"]):
+        order.setdefault(r["skey"], []).extend([r["doc_id"]] * r["size"])
+    for s in sources.collect():
+        words, take = order[s["skey"]], round(s["target"])
+        n_blocks, n_full, t = -(-len(words) // 16), len(words) // 16, 0
+        while take:
+            p, j = divmod(t, n_blocks)
+            at = plain_permuted(j, n_full, [s["skey"], p], "mix-block") if j < n_full else j
+            got = words[at * 16 : at * 16 + 16][:take] if p == take_passes(s, words) else words[at * 16 : at * 16 + 16]
+            want.update(got)
+            take, t = take - len(got), t + 1
+    assert {r["doc_id"]: r["taken"] for r in mixing.mixed(df, 16).collect()} == {i: want[i] for i, *_ in rows}
+
+
+def take_passes(s, words):
+    return round(s["target"]) // len(words)
+
+
+def test_shard_counts_are_a_draw_without_replacement(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    sources = spark.createDataFrame([(f"={i}", 16 * n, float(16 * n)) for i, n in enumerate((600, 300, 100))], "skey string, source_size long, target double")
+    draw = mixing.drawn(mixing.wanted(sources, 16)).toPandas().pivot(index="shard", columns="skey", values="n").fillna(0)
+    assert len(draw) == 10 and (draw.sum(axis=1) == 100).all() and draw.sum().tolist() == [600, 300, 100]
+    # The spread of a hypergeometric draw: n p (1 - p) (N - n) / (N - 1), about 21.6 for the largest source.
+    assert 4 < draw["=0"].var() < 70 and draw["=0"].nunique() > 3
+
+
+def test_many_sources_and_ranges(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 1000).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"))
+    got = mixing.targets(mixing.sized(df)).toPandas().set_index("skey")
+    w = {k: (3, 1, 2)[i % 3] for i, k in enumerate(sorted(got.index))}
+    assert abs(got.target.sum() - 1.5 * got.source_size.sum()) < 1e-6 and (got.target <= 2 * got.source_size + 1e-9).all()
+    free = got[got.target < 2 * got.source_size - 1e-9]
+    assert np.ptp([r.target / w[k] for k, r in free.iterrows()]) < 1e-6
+
+
 def test_permutation_covers(spark):
     for n in (1, 2, 3, 10, 97, 1000):
         df = spark.range(n).withColumn("n", F.lit(n).cast("long")).withColumn("k", F.lit("x"))
-        got = sorted(r["o"] for r in mixing.permuted(df, "id", "n", ["k"], "o", "s").collect())
-        assert got == list(range(n))
+        got = [r["o"] for r in mixing.permuted(df, "id", "n", ["k"], "o", "s").orderBy("id").collect()]
+        assert sorted(got) == list(range(n)) and got == [plain_permuted(x, n, ["x"], "s") for x in range(n)]
 
 
 def test_mixed_documents_keep_their_columns(spark, docs):
