@@ -3,9 +3,11 @@
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z become a-z. A window is
 ten consecutive words of an item; an item of fewer words (but not none) is one window.
 Benchmark words get numbers, windows become number sequences in one automaton, and each text
-is scanned once as the sequence of its words' numbers (0: no benchmark word). The automaton
-covers at most ``BLOCK_WINDOWS`` windows; a larger benchmark is scanned in further blocks, in
-the same pass over the documents, so what a worker holds stays bounded.
+is scanned once as the sequence of its words' numbers (0: no benchmark word). Windows are made and
+dealt by their hash to blocks of about ``BLOCK_WINDOWS`` in tasks, which write each block to the shared
+folder; the driver gets the files' names only. A benchmark of more than one block is scanned block
+after block in the same pass over the documents, each by workers of its own, so what a worker holds
+stays bounded.
 
 Defined cases: null or empty text has no words and no hits; items without words match nothing;
 repeated items (or items with equal windows) are each reported; a null item id reads as "null";
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii
+from .common import lower_ascii, materialize, open_fs, shared_dir
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -39,44 +41,60 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-def windows(text: str | None, width: int = WINDOW) -> list[tuple[bytes, ...]]:
-    w = normal_words(text)
-    return [tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+def _windows_of(width: int):
+    """Rows (item, window: its words joined by spaces), some thousand at a time however long an item is."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                w = normal_words(text)
+                for i in range(0, max(1, len(w) - width + 1) if w else 0, 5000):
+                    rows = [b" ".join(w[j : j + width]) for j in range(i, min(i + 5000, max(1, len(w) - width + 1)))]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows)), pa.array(rows, pa.binary())], names=["item", "window"])
 
-def _blocks(benchmark: DataFrame, width: int) -> Iterator[list[tuple[str, list]]]:
-    """Blocks of (item, windows), each of at most BLOCK_WINDOWS windows unless one item has more."""
-    block, n = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").toLocalIterator():
-        w = windows(row["text"], width)
-        if block and n + len(w) > BLOCK_WINDOWS:
-            yield block
-            block, n = [], 0
-        block.append((row["i"], w))
-        n += len(w)
-    yield block
+    return run
+
+
+def write_blocks(benchmark: DataFrame, folder: str, width: int = WINDOW) -> list[str]:
+    """Write the benchmark's windows in blocks of about BLOCK_WINDOWS; the files' names, one a block."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    rows = materialize(items.mapInArrow(_windows_of(width), "item string, window binary").distinct(), "benchmark-windows")
+    blocks = -(-rows.count() // BLOCK_WINDOWS)
+    if not blocks:
+        return []
+
+    def write(table: pa.Table) -> pa.Table:
+        fs, root = open_fs(folder)
+        name = f"block-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as f, pa.ipc.new_file(f, table.schema) as out:
+            out.write_table(table)
+        return pa.table({"file": [name]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    return sorted(r["file"] for r in materialize(dealt.groupBy("block").applyInArrow(write, "file string"), "benchmark-blocks").collect())
 
 
 _AUTOMATA: dict[str, tuple] = {}
 
 
-def _automaton(name: str, shared) -> tuple:
-    """The worker's automaton for one block: word numbers, automaton (None if there is no window)."""
+def _automaton(folder: str, name: str) -> tuple:
+    """The worker's automaton for one block: word numbers, automaton."""
     if name not in _AUTOMATA:
         import ahocorasick
 
         _AUTOMATA.clear()
+        fs, root = open_fs(folder)
+        with fs.open_input_file(f"{root}/{name}") as f:
+            table = pa.ipc.open_file(f).read_all()
         numbers: dict[bytes, int] = {}
         owners: dict[tuple, list[str]] = {}
-        for item, rows in shared.value:
-            for w in rows:
-                owners.setdefault(tuple(numbers.setdefault(x, len(numbers) + 1) for x in w), []).append(item)
+        for item, window in zip(table.column("item").to_pylist(), table.column("window").to_pylist()):
+            owners.setdefault(tuple(numbers.setdefault(x, len(numbers) + 1) for x in window.split(b" ")), []).append(item)
         auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, items in owners.items():
             auto.add_word(key, (len(key), items))
-        if owners:
-            auto.make_automaton()
-        _AUTOMATA[name] = (numbers, auto if owners else None)
+        auto.make_automaton()
+        _AUTOMATA[name] = numbers, auto
     return _AUTOMATA[name]
 
 
@@ -102,17 +120,16 @@ def spans_of(text: str, hit: set[int]) -> list[list[int]]:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, hits: str = "hits") -> DataFrame:
     """``docs`` (with a ``text`` column) plus ``hits``: n_words, hit word positions, items, spans in the original."""
-    spark = docs.sparkSession
     out = docs
     if hits in docs.columns:
         raise ValueError(f"documents have a column {hits!r} already; name another")
     kept = docs.schema.fields
     schema = T.StructType([*kept, T.StructField(hits, _HITS)])
-    for k, block in enumerate(_blocks(benchmark, width)):
-        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WINDOWS windows
+    folder = shared_dir(docs.sparkSession, "benchmark")
+    for k, name in enumerate(write_blocks(benchmark, folder, width) or [None]):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex, first=k == 0) -> Iterator[pa.RecordBatch]:
-            numbers, auto = _automaton(name, shared)
+        def run(batches: Iterator[pa.RecordBatch], name=name, first=k == 0) -> Iterator[pa.RecordBatch]:
+            numbers, auto = _automaton(folder, name) if name else ({}, None)
             for batch in batches:
                 texts = batch.column("text")
                 before = [None] * batch.num_rows if first else batch.column(hits).to_pylist()

@@ -1120,6 +1120,13 @@ def test_decontamination(spark, docs, none, monkeypatch, block):
     assert not any(r["contaminated"] for r in dec.contamination_report(docs, bench.limit(0)).collect())
 
 
+def test_a_long_item_is_written_in_pieces(spark):
+    words = [f"w{i}" for i in range(12_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[5000:5012])), (2, " ".join(words[:9])), (3, "x " + " ".join(words[4995:5004]))], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in dec.contamination_report(docs, bench).collect()} == {1: (12, 1), 2: (9, 1), 3: (0, 0)}
+
+
 def test_spans_point_into_the_original(spark):
     text = "Intro: The Quick, brown FOX! jumped... End"
     numbers = {w: i + 1 for i, w in enumerate([b"quick", b"brown", b"fox"])}
