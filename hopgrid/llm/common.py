@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space of the word definition: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
-_SPACES = str.maketrans({c: 32 for c in range(9, 14)})
 
 
 def lower_ascii(text: str) -> str:
@@ -23,19 +22,6 @@ def lower_ascii(text: str) -> str:
     return text.translate(_LOWER) if not text.isascii() else text.lower()
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of characters other than space and \\t-\\r, in order; null gives none."""
-    if not text:
-        return []
-    return [w for w in text.translate(_SPACES).split(" ") if w]
-
-
-def utf8(value) -> bytes:
-    """UTF-8 bytes of an Arrow string value; null gives none."""
-    buffer = value.as_buffer()
-    return b"" if buffer is None else buffer.to_pybytes()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     with np.errstate(over="ignore"):

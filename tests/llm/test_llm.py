@@ -1187,3 +1187,25 @@ def components_fast(rows):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     return [(len(sets[r["doc_id"]]), find(r["doc_id"])) for r in rows]
+
+
+def test_stages_on_odd_tables(spark, docs, none, tmp_path):
+    """Every stage on nulls, repeats, missing ids and clashing columns, and on an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from hopgrid.llm.common import materialize
+
+    labels = [(r["doc_id"], int(r["text"] is not None and len(r["text"]) > 8), 0) for r in docs.filter("doc_id is not null").collect()]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "lazy dog"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialize(stage(spark, table, str(tmp_path)), "odd")
+            if name == "quality_classifier":
+                scores = quality.quality_scores(table, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+                kept = {r["doc_id"] for r in scores.groupBy("doc_id").agg(F.min("kept").alias("k")).filter("k and doc_id is not null").collect()}
+                assert {r["doc_id"] for r in out.collect()} == kept
+            if name == "mixing":
+                n = lambda df: df.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
+                assert n(out) == (mixing.mix_report(table).agg(F.sum("taken")).first()[0] or 0)
+            if name != "token_ids":
+                assert out.columns == table.columns
