@@ -217,6 +217,16 @@ def shortest_path_all(g, spark, d):
     return p.select(big(F.col("node")).alias("node"), big(F.col("length")).alias("length"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
+@query("""with recursive p as (select conv_id||':'||turn s, conv_id, turn, 0 n from conversations where turn=0
+union all select p.s, c.conv_id, c.turn, n+1 from p join conversations c on c.conv_id=p.conv_id and c.turn=p.turn+1)
+select s source, conv_id||':'||turn node, n::bigint length, (n+1)::bigint nodes from p""")
+def shortest_path_turns(g, spark, d):
+    starts = g.nodes["Turn"].df.filter("turn = 0").select("turn_id")
+    ends = g.nodes["Turn"].df.select(F.col("turn_id").alias("node"))
+    p = algorithms.shortest_paths(g, "NEXT", starts, "turn_id").join(ends, "node", "left_semi")  # a last turn's edge leads nowhere
+    return p.select("source", "node", big(F.col("length")).alias("length"), big(F.size("path")).alias("nodes"))
+
+
 @query(f"""with recursive e as (select a, b, count(*) over (partition by a) n from {ADJ}), r as (select n_nationkey k, 0 i, 1.0::double/25 rank from nation
 union all select b, i+1, 0.15/25 + 0.85*sum(rank/n) from (select b, n, i, rank from r join e on e.a=r.k where i<20) group by b, i)
 select k::bigint nation, round(rank, 9) rank from r where i=20""")
