@@ -318,6 +318,10 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     kept = materialize(near_duplicates(docs, shingle, percent).filter("kept").select("doc_id").distinct(), "kept-ids")
     release_since(docs.sparkSession, mark, kept)
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    known = docs.filter("doc_id is not null").select(F.xxhash64("text").alias("_h"), F.col("text").alias("_t")).distinct()
-    rest = docs.filter("doc_id is null").dropDuplicates(["text"])
+    rest = materialize(docs.filter("doc_id is null").dropDuplicates(["text"]), "without-id")
+    if rest.isEmpty():
+        return out
+    # Only texts whose hash a row without doc_id has are compared.
+    known = docs.filter("doc_id is not null").select(F.xxhash64("text").alias("_h"), F.col("text").alias("_t"))
+    known = known.join(rest.select(F.xxhash64("text").alias("_h")).distinct(), "_h", "left_semi").distinct()
     return out.unionByName(rest.join(known, (F.xxhash64("text") == F.col("_h")) & F.col("text").eqNullSafe(F.col("_t")), "left_anti"))

@@ -34,7 +34,7 @@ from .common import materialize, open_fs, shared_dir
 
 SHARD_BYTES = 256 << 20
 BUCKET_KEYS = 4096
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 END_ID = 1
 
 # --------------------------------------------------------------------------- encoding
