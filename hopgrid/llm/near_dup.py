@@ -11,8 +11,10 @@
    then all candidates that still lie in different components.
 4. What neighbours may miss in a large region is done exactly: members outside its largest
    component meet the members of other components with which they share one of their rarest shingles.
-   Of sets as similar as asked, the rarest n - ceil(share * n) + 1 shingles of each have one in common,
-   whatever order counts as rarest; boilerplate, which many share, comes last in it and costs nothing.
+   Whatever order counts as rarest: of two sets as similar as asked, the n - ceil(share * n) + 1 rarest
+   shingles of the larger and the m - ceil(2 * share / (1 + share) * m) + 1 rarest of the smaller have
+   one in common, and after the first common one both have enough left to be as similar. Boilerplate,
+   which many share, comes last in the order, so texts that share no more than that don't meet.
 
 At a similarity of 0.8 a pair shares a region with probability 1 - (1 - 0.8^4)^24, more than
 0.999996. A pair that shares one is never lost: no candidate list is cut without step 4.
@@ -200,7 +202,7 @@ _ORDER: dict[str, np.ndarray] = {}
 
 
 def _rarest(folder: str, name: str, percent: int):
-    """The rarest shingles of each set, as many as two similar sets can't both be without."""
+    """The rarest shingles of each set and their places in the order, as many as two similar sets can't both be without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ORDER:
@@ -218,8 +220,9 @@ def _rarest(folder: str, name: str, percent: int):
                 sizes.append(len(s))
             each = np.array([len(x) for x in out])
             repeat = lambda c: pa.array(np.repeat(c, each))
-            rows = [pa.array(np.concatenate(out).view(np.int64)) if out else pa.array([], pa.int64()), *(repeat(b.column(c).to_numpy()) for c in ("node", "comp")), pa.array(np.repeat(b.column("outside").to_numpy(zero_copy_only=False), each)), repeat(np.array(sizes, np.int64))]
-            yield pa.RecordBatch.from_arrays(rows, names=["shingle", "node", "comp", "outside", "n"])
+            places = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            rows = [pa.array(np.concatenate(out).view(np.int64)) if out else pa.array([], pa.int64()), *(repeat(b.column(c).to_numpy()) for c in ("node", "comp")), pa.array(np.repeat(b.column("outside").to_numpy(zero_copy_only=False), each)), repeat(np.array(sizes, np.int64)), pa.array(places)]
+            yield pa.RecordBatch.from_arrays(rows, names=["shingle", "node", "comp", "outside", "n", "place"])
 
     return run
 
@@ -248,10 +251,14 @@ def _rest(big: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> Da
     # COUNTERS rows at most go to one task.
     totals = members.select("set").mapInArrow(_counters, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     name = totals.repartition(1).mapInArrow(write, "file string").first()["file"]
-    rare = materialize(members.mapInArrow(_rarest(folder, name, percent), "shingle long, node long, comp long, outside boolean, n long"), "rarest")
-    left, right = rare.filter("outside"), rare.select("shingle", *(F.col(c).alias(f"r_{c}") for c in ("node", "comp", "n")))
-    fits = F.lit(100) * F.least("n", "r_n") >= F.lit(percent) * F.greatest("n", "r_n")
-    met = left.join(right, "shingle").filter((F.col("comp") != F.col("r_comp")) & fits)
+    rare = materialize(members.mapInArrow(_rarest(folder, name, percent), "shingle long, node long, comp long, outside boolean, n long, place long"), "rarest")
+    # The larger set (of equal ones that of the larger node) looks for the smaller.
+    small = rare.filter(f"place < n + 1 - ceil({2 * percent} * n / {100 + percent})").select("shingle", "outside", *(F.col(c).alias(f"r_{c}") for c in ("node", "comp", "n", "place")))
+    larger = (F.col("n") > F.col("r_n")) | ((F.col("n") == F.col("r_n")) & (F.col("node") > F.col("r_node")))
+    left = F.least(F.col("n") - F.col("place"), F.col("r_n") - F.col("r_place"))  # in common at most, from this shingle on
+    fits = (F.lit(100) * F.col("r_n") >= F.lit(percent) * F.col("n")) & (left * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("r_n")))
+    meet = lambda a, b: a.drop("outside").join(b.drop("outside"), "shingle").filter((F.col("comp") != F.col("r_comp")) & larger & fits)
+    met = meet(rare.filter("outside"), small).unionByName(meet(rare.filter("not outside"), small.filter("outside")))
     pairs = materialize(met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct(), "pairs-3")
     return confirmed(pairs, members.select("node", "set"), percent)
 
