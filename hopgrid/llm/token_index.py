@@ -12,7 +12,7 @@ Rows are written in ascending ``doc_id`` order (nulls first; equal ids by a hash
 Files are named by task attempt and only the manifest of successful tasks points
 at them, so a lost executor leaves orphans but never a wrong byte.
 Defined cases: null or empty text encodes to the end id alone; repeated keys are
-stored as consecutive records reached through one index entry; an empty table
+stored in runs of consecutive records, one for each writer task that has some, each with an index entry; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, open_fs, shared_dir
@@ -241,11 +241,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
 def build_index(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
     """Index rows, one per bucket of about ``bucket_keys`` keys and written to the shared folder, and the number of buckets."""
-    keys = materialize(
-        manifest.groupBy("doc_id").agg(F.min(F.struct("part", "file", "row", "at", "n_tokens", "before")).alias("first"), F.count("*").alias("n_rows"))
-        .select(F.xxhash64("doc_id").alias("h"), F.xxhash64(F.lit("fingerprint"), "doc_id").alias("g"), "first.*", "n_rows"),
-        "index-keys",
-    )
+    # A run: rows of one key that follow one another in a file. Keys have as many runs as writer tasks hold their rows, mostly one.
+    runs = manifest.groupBy("doc_id", "part", "file").agg(F.min(F.struct("row", "at", "n_tokens", "before")).alias("first"), F.count("*").alias("n_rows")).select("doc_id", "part", "file", "first.*", "n_rows")
+    own = Window.partitionBy("doc_id")
+    runs = runs.withColumns({"run": (F.row_number().over(own.orderBy("part", "file")) - 1).cast("long"), "n_runs": F.count("*").over(own)})
+    keys = materialize(runs.select(*_hashes(), "part", "file", "row", "at", "n_tokens", "before", "n_rows", "n_runs"), "index-keys")
     buckets = max(1, -(-keys.count() // bucket_keys))
 
     def build(table: pa.Table) -> pa.Table:
@@ -257,22 +257,36 @@ def build_index(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[Da
         files, which = np.unique(np.array(table.column("file").to_pylist()), return_inverse=True)
         pack = lambda a, t: a[order].astype(t).tobytes()
         return pa.Table.from_pylist(
-            [{"bucket": int(col["bucket"][0]), "levels": sizes, "bits": blob, "fingerprints": (col["g"].view(np.uint64)[order] >> np.uint64(32)).astype("<u4").tobytes(), "files": files.tolist(), "file_no": pack(which, "<u4"), "places": np.stack([col[c][order] for c in ("part", "row", "at", "n_tokens", "before", "n_rows")]).astype("<i8").tobytes()}],
+            [{"bucket": int(col["bucket"][0]), "levels": sizes, "bits": blob, "fingerprints": (col["g"].view(np.uint64)[order] >> np.uint64(32)).astype("<u4").tobytes(), "files": files.tolist(), "file_no": pack(which, "<u4"), "places": np.stack([col[c][order] for c in _PLACES]).astype("<i8").tobytes()}],
             schema=_INDEX_ARROW,
         )
 
     return materialize(keys.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(build, _INDEX), "index"), buckets
 
 
+_PLACES = ("part", "row", "at", "n_tokens", "before", "n_rows", "n_runs")
+
+
+def _hashes() -> tuple[Column, Column]:
+    """Key hash and fingerprint of a run (doc_id, run)."""
+    return F.xxhash64("doc_id", "run").alias("h"), F.xxhash64(F.lit("fingerprint"), "doc_id", "run").alias("g")
+
+
 _INDEX = "bucket int, levels array<int>, bits binary, fingerprints binary, files array<string>, file_no binary, places binary"
 _INDEX_ARROW = pa.schema([("bucket", pa.int32()), ("levels", pa.list_(pa.int32())), ("bits", pa.binary()), ("fingerprints", pa.binary()), ("files", pa.list_(pa.string())), ("file_no", pa.binary()), ("places", pa.binary())])
-_FOUND = "doc_id long, part int, file string, row long, at long, n_tokens long, before long, n_rows long"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("row", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("n_rows", pa.int64())])
+_FOUND = "doc_id long, part int, file string, row long, at long, n_tokens long, before long, n_rows long, n_runs long"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("row", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("n_rows", pa.int64()), ("n_runs", pa.int64())])
 
 
 def lookup(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """Locations of ``keys`` (doc_id, distinct); a key that was never stored gives no row."""
-    probe = keys.select("doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64(F.lit("fingerprint"), "doc_id").alias("g")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
+    """Locations of ``keys`` (doc_id, distinct), one for each run; a key that was never stored gives no row."""
+    first = materialize(_probed(keys.select("doc_id", F.lit(0).cast("long").alias("run")), index, buckets), "token-first-runs")
+    more = first.filter("n_runs > 1").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_runs") - 1)).alias("run"))
+    return first if more.isEmpty() else first.unionByName(_probed(more, index, buckets))
+
+
+def _probed(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
+    probe = keys.select("doc_id", *_hashes()).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("int"))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -284,7 +298,7 @@ def lookup(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
         known = slot >= 0
         known[known] = np.frombuffer(row["fingerprints"], "<u4")[slot[known]] == (g[known] >> np.uint64(32)).astype(np.uint32)
         slot = slot[known]
-        places = np.frombuffer(row["places"], "<i8").reshape(6, -1)[:, slot]
+        places = np.frombuffer(row["places"], "<i8").reshape(len(_PLACES), -1)[:, slot]
         names = np.array(row["files"])[np.frombuffer(row["file_no"], "<u4")[slot]] if len(slot) else []
         return pa.Table.from_arrays(
             [left.column("doc_id").combine_chunks().filter(pa.array(known)), pa.array(places[0].astype(np.int32)), pa.array(names, pa.string()), *(pa.array(x) for x in places[1:])],

@@ -76,6 +76,23 @@ def test_token_output(spark, docs, none):
     assert token_index.token_output(spark, none, VOCABULARY).count() == 0
 
 
+def test_one_key_in_many_writer_tasks(spark, request):
+    """Rows of one doc_id, and of none, are split over tasks; every one is read back, in the places they were written to."""
+    rows = [(7, f"text number {i} " * (i % 9)) for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"own {i}") for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    got = sorted(map(tuple, token_index.token_output(spark, df, VOCABULARY).collect()), key=lambda r: r[1])
+    enc = token_index.MemoEncoder(VOCABULARY)
+    ids = [np.append(np.frombuffer(enc.encode(t), enc.dtype), 1).astype("<u4") for _, t in rows]
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids))
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    from hopgrid.llm.common import shared_dir
+
+    manifest = token_index.write_shards(df, shared_dir(spark, "t"), VOCABULARY)
+    assert manifest.filter("doc_id = 7").select("part").distinct().count() > 1
+
+
 def test_perfect_hash_rejects_others():
     keys = np.random.RandomState(1).randint(0, 2**62, 5000).astype(np.uint64)
     keys = np.unique(keys)
